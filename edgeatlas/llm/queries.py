@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from edgeatlas.llm import mixing, packing
+from edgeatlas.llm import mixing, packing, quality, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op2_source_mixing": mixing.op2_source_mixing,
+    "op8_quality_rules": quality.op8_quality_rules,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_warc": warc.SQL,
+}
