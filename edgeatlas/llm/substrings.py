@@ -16,89 +16,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeatlas.llm.session import small_batches
-from edgeatlas.llm.words import Words, blocks, covered, mix, raw
+from edgeatlas.llm.sketch import Sketch, at_least
+from edgeatlas.llm.words import Words, blocks, covered, raw
 
 WINDOW = 35
-ROWS, CELL_BITS, SHARD_BITS = 2, 28, 22
+SKETCH = Sketch(rows=2, cell_bits=28)
 #: Windows that one chunk sketches, and windows let through that one chunk of pass 2 holds.
 CHUNK = 1 << 20
-_ROW_SALT = np.array([0, 0xA0761D6478BD642F], np.uint64)
-
-
-def cells(h: np.ndarray, row: int) -> np.ndarray:
-    x = h if row == 0 else mix(h ^ _ROW_SALT[row])
-    return (x >> np.uint64(64 - CELL_BITS)).astype(np.uint32)
-
-
-def encode(sorted_ids: np.ndarray) -> bytes:
-    """Ascending ids as bytes: differences, 255 meaning "255 and go on"."""
-    d = np.diff(sorted_ids.astype(np.int64), prepend=0)
-    far, rest = np.divmod(d, 255)
-    at = np.cumsum(far + 1) - 1
-    out = np.full(int(at[-1]) + 1 if len(at) else 0, 255, np.uint8)
-    out[at] = rest
-    return out.tobytes()
-
-
-def decode(blob: bytes) -> np.ndarray:
-    b = np.frombuffer(blob, np.uint8)
-    return np.cumsum(b, dtype=np.int64)[b < 255]
-
-
-def partial_sketch(h: np.ndarray, times: int = 2) -> Iterator[tuple[int, bytes]]:
-    """(row and shard, cells): each cell as often as it was met, at most ``times``."""
-    for row in range(ROWS):
-        c = np.sort(cells(h, row))
-        c = c[np.concatenate([np.ones(min(times, len(c)), bool), c[times:] != c[:-times]])] if len(c) else c
-        bounds = np.searchsorted(c, np.arange(0, (1 << CELL_BITS) + 1, 1 << SHARD_BITS))
-        for s in range(len(bounds) - 1):
-            if bounds[s] < bounds[s + 1]:
-                yield row * (1 << (CELL_BITS - SHARD_BITS)) + s, encode(c[bounds[s] : bounds[s + 1]] - np.uint32(s << SHARD_BITS))
-
-
-def sum_shards(parts: DataFrame, value) -> DataFrame:
-    """Add partial sketches shard by shard as they stream in; ``value`` turns a shard's counts (uint8, at most 255) into bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for s, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if s not in sums:
-                    sums[s] = np.zeros(1 << SHARD_BITS, np.uint8)
-                ids = decode(blob.as_py())
-                have = sums[s]
-                more = np.bincount(ids, minlength=1 << SHARD_BITS) if len(ids) > 1 << 18 else None
-                if more is None:
-                    u, n = np.unique(ids, return_counts=True)
-                    have[u] = np.minimum(have[u].astype(np.int64) + n, 255)
-                else:
-                    sums[s] = np.minimum(have + more, 255).astype(np.uint8)
-        for s, have in sums.items():
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([s], pa.int32()), "cells": pa.array([value(have)], pa.binary())})
-
-    return parts.repartition("shard").mapInArrow(run, "shard int, cells binary")
-
-
-def gather(spark: SparkSession, shards: DataFrame, bits: int):
-    """The summed sketch as a broadcast array of ROWS rows with ``bits`` bits a cell: a fixed size."""
-    width = (1 << SHARD_BITS) * bits // 8
-    out = np.zeros(ROWS * (1 << (CELL_BITS - SHARD_BITS)) * width, np.uint8)
-    for r in shards.toLocalIterator():
-        out[r[0] * width : (r[0] + 1) * width] = np.frombuffer(r[1], np.uint8)
-    return spark.sparkContext.broadcast(out.tobytes())
-
-
-def passes(sketch: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Windows whose cells all have the bit."""
-    ok = np.ones(len(h), bool)
-    for row in range(ROWS):
-        c = cells(h[ok], row).astype(np.int64) + (row << CELL_BITS)
-        ok[ok] = (sketch[c >> 3] >> (c & 7).astype(np.uint8)) & 1 != 0
-    return ok
 
 
 def window_hashes(column: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -118,21 +46,17 @@ def repeated_starts(docs: DataFrame, k: int = WINDOW) -> DataFrame:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
-        def flush():
-            got = list(partial_sketch(np.concatenate(held)))
-            return pa.RecordBatch.from_arrays([pa.array([s for s, _ in got], pa.int32()), pa.array([b for _, b in got], pa.binary())], names=["shard", "cells"])
-
         for batch in batches:
             for _, _, h in window_hashes(batch.column(1), k):
                 held.append(h)
                 n += len(h)
                 if n >= CHUNK:
-                    yield flush()
+                    yield SKETCH.partial(np.concatenate(held))
                     held, n = [], 0
         if n:
-            yield flush()
+            yield SKETCH.partial(np.concatenate(held))
 
-    bits = gather(spark, sum_shards(docs.mapInArrow(sketch, "shard int, cells binary"), lambda c: np.packbits(c >= 2, bitorder="little").tobytes()), 1)
+    bits = SKETCH.total(spark, docs.mapInArrow(sketch, "shard int, cells binary"), at_least(2), 1)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(bits.value, np.uint8)
@@ -154,7 +78,7 @@ def repeated_starts(docs: DataFrame, k: int = WINDOW) -> DataFrame:
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             for doc, at, h in window_hashes(batch.column(1), k):
-                ok = passes(table, h)
+                ok = SKETCH.bit(table, h)
                 held.append((keys[doc[ok]], at[ok].astype(np.int32), h[ok]))
                 n += int(ok.sum())
                 if n >= CHUNK:
