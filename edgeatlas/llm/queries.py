@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from edgeatlas.llm import jaccard, mixing, packing, quality, substrings, warc
+from edgeatlas.llm import jaccard, mixing, packing, quality, substrings, vectors, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_source_mixing": mixing.op2_source_mixing,
     "op4_substring_dedup": substrings.op4_substring_dedup,
+    "op5_embedding_dedup": vectors.op5_embedding_dedup,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
@@ -16,5 +17,6 @@ QUERIES = {
 SQL: dict[str, str] = {
     "op1_warc": warc.SQL,
     "op4_substring_dedup": substrings.SQL,
+    "op5_embedding_dedup": vectors.SQL,
     "op9_ngram_jaccard_join": jaccard.SQL,
 }
