@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from edgeatlas.llm import jaccard, mixing, packing, quality, substrings, vectors, warc
+from edgeatlas.llm import jaccard, mixing, packing, pii, quality, substrings, vectors, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_source_mixing": mixing.op2_source_mixing,
     "op4_substring_dedup": substrings.op4_substring_dedup,
     "op5_embedding_dedup": vectors.op5_embedding_dedup,
+    "op7_pii": pii.op7_pii,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
