@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from edgeatlas.llm import jaccard, mixing, packing, pii, quality, substrings, vectors, warc
+from edgeatlas.llm import chat, jaccard, mixing, packing, pii, quality, substrings, toxicity, vectors, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_source_mixing": mixing.op2_source_mixing,
+    "op3_chat_formatting": chat.op3_chat_formatting,
     "op4_substring_dedup": substrings.op4_substring_dedup,
     "op5_embedding_dedup": vectors.op5_embedding_dedup,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_pii": pii.op7_pii,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,

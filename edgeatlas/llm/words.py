@@ -19,6 +19,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Bytes of letters and digits; whatever is not ASCII counts as a letter.
+ALNUM = np.zeros(256, bool)
+ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _TABLE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE, _WINDOW, _SECOND = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xDA942042E4DD58B5
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -73,11 +76,11 @@ def blocks(data: np.ndarray, off: np.ndarray, block: int = BLOCK) -> Iterator[tu
 class Words:
     """The words of a run of documents: byte starts and ends, and each document's first word (``first``, n+1 entries)."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, off: np.ndarray, lower: bool = False, inner: np.ndarray | None = None):
         self.data, self.off = LOWER[data] if lower else data, off
         n = len(data)
         inside = np.zeros(n + 2, bool)
-        inside[1:-1] = ~_SPACE[data]
+        inside[1:-1] = ~_SPACE[data] if inner is None else inner[data]
         edge = off[1:-1]
         edge = edge[(edge > 0) & (edge < n)]
         start = inside[1:-1] & ~inside[:-2]
