@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from edgeatlas.llm.session import small_batches
 from edgeatlas.llm.sketch import Sketch, at_least
-from edgeatlas.llm.words import Words, blocks, covered, raw
+from edgeatlas.llm.words import Words, blocks, covered, mix, raw
 
 WINDOW = 35
 SKETCH = Sketch(rows=2, cell_bits=28)
@@ -40,7 +40,7 @@ def window_hashes(column: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.nda
 
 
 def repeated_starts(docs: DataFrame, k: int = WINDOW) -> DataFrame:
-    """(key, starts): for each document key, blocks of start words (int32) of its repeated windows. ``docs`` has key and text."""
+    """(key, starts): for each document key with repeated windows, their start words (int32). ``docs`` has key and text."""
     spark = docs.sparkSession
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,6 +58,8 @@ def repeated_starts(docs: DataFrame, k: int = WINDOW) -> DataFrame:
 
     bits = SKETCH.total(spark, docs.mapInArrow(sketch, "shard int, cells binary"), at_least(2), 1)
 
+    n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(bits.value, np.uint8)
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -70,10 +72,15 @@ def repeated_starts(docs: DataFrame, k: int = WINDOW) -> DataFrame:
             new = np.concatenate([[True], h[1:] != h[:-1]])
             size = np.diff(np.append(np.flatnonzero(new), len(h)))
             many = np.repeat(size > 1, size)
-            yield from _starts(key[many], at[many])
-            first = new & many  # one row stands for all of a window's places here
-            one = ~many | first
-            yield pa.RecordBatch.from_arrays([pa.array(h[one].view(np.int64)), pa.array(key[one]), pa.array(np.where(many[one], -1, at[one]).astype(np.int32)), pa.nulls(int(one.sum()), pa.binary())], names=["h", "key", "at", "starts"])
+            bucket, blob = _packed(key[many], at[many], n_buckets)
+            at = np.where(many, REPEATED, at)
+            one = np.flatnonzero(~many | new)  # one row stands for all of a window's places here
+            one = one[np.argsort(order[one])]  # in the order of the texts, which compresses
+            m, b = len(one), len(bucket)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([h[one].view(np.int64), mix(bucket.astype(np.uint64)).view(np.int64)])), pa.array(np.concatenate([key[one], bucket])), pa.array(np.concatenate([at[one], np.full(b, SETTLED)]).astype(np.int32)), pa.array([None] * m + blob, pa.binary())],
+                names=["h", "key", "at", "blob"],
+            )
 
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
@@ -88,38 +95,55 @@ def repeated_starts(docs: DataFrame, k: int = WINDOW) -> DataFrame:
             yield from flush()
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hs, keys, ats = [], [], []
+        held = []
         for batch in batches:
-            settled = np.array(batch.column(3).is_valid())
+            h, key, at = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            settled = at == SETTLED
             if settled.any():
-                yield pa.RecordBatch.from_arrays([batch.column(1).filter(pa.array(settled)), batch.column(3).filter(pa.array(settled))], names=["key", "starts"])
-            hs.append(batch.column(0).to_numpy(zero_copy_only=False)[~settled])
-            keys.append(batch.column(1).to_numpy(zero_copy_only=False)[~settled])
-            ats.append(batch.column(2).to_numpy(zero_copy_only=False)[~settled].astype(np.int32))
-        if hs:
-            h, key, at = np.concatenate(hs), np.concatenate(keys), np.concatenate(ats)
+                yield pa.RecordBatch.from_arrays([batch.column(1).filter(pa.array(settled)), batch.column(3).filter(pa.array(settled))], names=["bucket", "blob"])
+            held.append((h[~settled], key[~settled], at[~settled].astype(np.int32)))
+        if held:
+            h, key, at = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.argsort(h, kind="stable")
             h, key, at = h[order], key[order], at[order]
-            if len(h):
-                start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-                weight = np.add.reduceat(np.where(at < 0, 2, 1), start)
-                many = np.repeat(weight > 1, np.diff(np.append(start, len(h)))) & (at >= 0)
-                for b in _starts(key[many], at[many]):
-                    yield b.select(["key", "starts"])
-
-    rows = docs.mapInArrow(candidates, "h long, key long, at int, starts binary")
-    return rows.repartition("h").mapInArrow(exact, "key long, starts binary")
-
-
-def _starts(key: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Start words packed by key; spread by the key's own value."""
-    if len(key):
-        order = np.lexsort((at, key))
-        key, at = key[order], at[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        blobs = [x.tobytes() for x in np.split(at.astype(np.int32), first[1:])]
-        k = pa.array(key[first])
-        yield pa.RecordBatch.from_arrays([k, k, pa.array(np.full(len(first), -2, np.int32)), pa.array(blobs, pa.binary())], names=["h", "key", "at", "starts"])
+            start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+            weight = np.add.reduceat(np.where(at == REPEATED, 2, 1), start) if len(h) else start
+            many = np.repeat(weight > 1, np.diff(np.append(start, len(h)))) & (at >= 0)
+            bucket, blob = _packed(key[many], at[many], n_buckets)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(blob, pa.binary())], names=["bucket", "blob"])
+
+    def regroup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs = [x.as_py() for batch in batches for x in batch.column(1)]
+        if blobs:
+            keys = np.concatenate([np.frombuffer(b, np.int64, len(b) // 12) for b in blobs])
+            at = np.concatenate([np.frombuffer(b, np.int32, len(b) // 12, len(b) // 12 * 8) for b in blobs])
+            order = np.argsort(keys, kind="stable")
+            keys, at = keys[order], at[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            ends = np.append(first[1:], len(keys))
+            for i in range(0, len(first), 1024):
+                s, e = first[i : i + 1024], ends[i : i + 1024]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[s]), pa.array([at[a:b].tobytes() for a, b in zip(s, e, strict=True)], pa.binary())], names=["key", "starts"])
+
+    rows = docs.mapInArrow(candidates, "h long, key long, at int, blob binary")
+    packed = rows.repartition("h").mapInArrow(exact, "bucket long, blob binary")
+    return packed.repartition("bucket").mapInArrow(regroup, "key long, starts binary")
+
+
+#: In place of a start word: a window met more than once in its chunk; start words that need no more counting.
+REPEATED, SETTLED = -1, -2
+
+
+def _packed(key: np.ndarray, at: np.ndarray, buckets: int) -> tuple[np.ndarray, list[bytes]]:
+    """Places dealt by document key into ``buckets``: a blob of keys, then start words, for each bucket that has any."""
+    bucket = (key.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bucket, key, at = bucket[order], key[order].astype(np.int64), at[order].astype(np.int32)
+    if not len(bucket):
+        return bucket, []
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    ends = np.append(first[1:], len(bucket))
+    return bucket[first], [key[a:b].tobytes() + at[a:b].tobytes() for a, b in zip(first, ends, strict=True)]
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = WINDOW) -> DataFrame:
@@ -131,18 +155,16 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     small_batches(spark)
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
-    found = repeated_starts(d.select("key", "text"), k).groupBy("key").agg(F.collect_list("starts").alias("starts"))
-    joined = d.join(found, "key", "left").select("doc_id", "text", "starts")
+    joined = d.join(repeated_starts(d.select("key", "text"), k), "key", "left").select("doc_id", "text", "starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: dict[str, list] = {"n_words": [], "n_removed": [], "kept_sha256": [], "kept": []}
-            for t, blobs in zip(batch.column(1), batch.column(2), strict=True):
+            for t, starts in zip(batch.column(1), batch.column(2), strict=True):
                 words = (t.as_py() or "").encode().split()
                 kept = words
-                if blobs.is_valid:
-                    at = np.frombuffer(b"".join(blobs.as_py()), np.int32)
-                    gone = covered(at, k, len(words))
+                if starts.is_valid:
+                    gone = covered(np.frombuffer(starts.as_py(), np.int32), k, len(words))
                     kept = [w for w, x in zip(words, gone.tolist(), strict=True) if not x]
                 text = b" ".join(kept)
                 for c, v in zip(rows, (len(words), len(words) - len(kept), hashlib.sha256(text).hexdigest(), text.decode()), strict=True):
