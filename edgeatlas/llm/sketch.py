@@ -78,10 +78,11 @@ class Sketch:
                 yield pa.RecordBatch.from_pydict({"shard": pa.array([s], pa.int32()), "cells": pa.array([pack(have).tobytes()], pa.binary())})
 
         width = size * bits // 8
-        out = np.zeros(self.rows * self.shards * width, np.uint8)
-        for r in parts.repartition("shard").mapInArrow(run, "shard int, cells binary").toLocalIterator():
-            out[r[0] * width : (r[0] + 1) * width] = np.frombuffer(r[1], np.uint8)
-        return spark.sparkContext.broadcast(out.tobytes())
+        out = bytearray(self.rows * self.shards * width)
+        # a task has about one shard, so no more than that reaches the driver at once
+        for r in parts.repartition(self.rows * self.shards, "shard").mapInArrow(run, "shard int, cells binary").toLocalIterator():
+            out[r[0] * width : (r[0] + 1) * width] = r[1]
+        return spark.sparkContext.broadcast(out)
 
     def bit(self, table: np.ndarray, h: np.ndarray) -> np.ndarray:
         """For one bit a cell: whether all of a hash's cells have it."""
