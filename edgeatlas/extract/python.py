@@ -36,12 +36,13 @@ def parse(source: str) -> tuple[ast.Module, bool]:
         except (SyntaxError, ValueError) as e:
             broken = True
             at = min(max((getattr(e, "lineno", None) or 1) - 1, 0), len(lines) - 1)
-            while at >= 0 and (not lines[at].strip() or lines[at].strip() == "pass"):
+            while at >= 0 and not lines[at].strip():
                 at -= 1
             if at < 0:
                 break
             line = lines[at]
-            lines[at] = line[: len(line) - len(line.lstrip())] + "pass" if lines[at].strip() != "pass" else ""
+            # first a statement that does nothing, to keep the block; where that is what fails, nothing
+            lines[at] = "" if line.strip() == "pass" else line[: len(line) - len(line.lstrip())] + "pass"
     return ast.Module(body=[], type_ignores=[]), True
 
 

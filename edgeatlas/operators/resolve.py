@@ -115,7 +115,8 @@ def follow(facts: Facts, wanted: DataFrame, keys: list[str]) -> DataFrame:
 def python_edges(facts: Facts) -> DataFrame:
     """ref_id, to_symbol_id, rule, candidates for Python calls, bases and imports."""
     r = facts.refs.where("lang = 'python'")
-    imports = follow(facts, r.where("kind = 'import'").select("ref_id", F.col("to_name").alias("qualified"), "repo", "lang"), ["ref_id"])
+    # what imports name, what imported heads stand for, what star imports may give: followed together
+    imported = r.where("kind = 'import'").select("ref_id", F.lit("import").alias("how"), F.col("to_name").alias("qualified"), "repo", "lang")
     calls = r.where(F.col("kind").isin("call", "inherit", "queue_actor")).withColumn("parts", F.split("to_name", r"\."))
     calls = calls.withColumns({"head": F.get("parts", F.lit(0)), "last": F.element_at("parts", -1), "rest": F.array_join(F.slice("parts", 2, 1_000_000), ".")})
     own = F.col("head").isin("self", "cls") & (F.size("parts") > 1)
@@ -128,19 +129,21 @@ def python_edges(facts: Facts) -> DataFrame:
     near = near.select("ref_id", F.col("at").alias("rank"), F.col("symbol_id").alias("to_symbol_id"), F.lit("same_file").alias("rule"), F.lit(1).alias("candidates"))
     # the head is imported: what it stands for, and no guess after that
     bound = calls.where(plain).join(facts.import_map.withColumnRenamed("local_name", "head"), ["file_id", "head"])
-    bound = bound.select("ref_id", F.concat_ws(".", "target", F.when(F.col("rest") != "", F.col("rest"))).alias("qualified"), "repo", "lang")
-    scoped = follow(facts, bound, ["ref_id"]).select("ref_id", F.lit(2).alias("rank"), "to_symbol_id", F.lit("import_scope").alias("rule"), F.lit(1).alias("candidates"))
+    bound = bound.select("ref_id", F.lit("bound").alias("how"), F.concat_ws(".", "target", F.when(F.col("rest") != "", F.col("rest"))).alias("qualified"), "repo", "lang")
     stop = bound.select("ref_id", F.lit(3).alias("rank"), F.lit(None).cast("long").alias("to_symbol_id"), F.lit(None).cast("string").alias("rule"), F.lit(0).alias("candidates"))
     # star imports of the file: the first that defines the name, else the first
     stars = facts.imports.where("local_name = '*'").select("file_id", "id", "target")
     defined = facts.symbols.select(F.col("qualified_name").alias("defined")).distinct().withColumn("is_defined", F.lit(True))
     st = calls.where(plain & ~F.col("head").startswith("_")).join(stars, "file_id").withColumn("defined", F.concat_ws(".", "target", "head")).join(defined, "defined", "left")
     st = st.withColumn("n", F.row_number().over(Window.partitionBy("ref_id").orderBy(F.col("is_defined").asc_nulls_last(), "id"))).where("n = 1")
-    starred = follow(facts, st.select("ref_id", F.concat_ws(".", "target", "to_name").alias("qualified"), "repo", "lang"), ["ref_id"]).select("ref_id", F.lit(4).alias("rank"), "to_symbol_id", F.lit("import_scope").alias("rule"), F.lit(1).alias("candidates"))
+    starred = st.select("ref_id", F.lit("star").alias("how"), F.concat_ws(".", "target", "to_name").alias("qualified"), "repo", "lang")
+    followed = follow(facts, imported.unionByName(bound).unionByName(starred), ["ref_id", "how"])
+    rank = F.when(F.col("how") == "bound", 2).otherwise(4)
+    scoped = followed.where("how <> 'import'").select("ref_id", rank.alias("rank"), "to_symbol_id", F.lit("import_scope").alias("rule"), F.lit(1).alias("candidates"))
     guess = by_name(calls.select("ref_id", F.col("last").alias("to_name"), "repo", "lang"), facts.symbols).select("ref_id", F.lit(5).alias("rank"), "to_symbol_id", "rule", "candidates")
-    rows = near.unionByName(scoped).unionByName(stop).unionByName(starred).unionByName(guess)
+    rows = near.unionByName(scoped).unionByName(stop).unionByName(guess)
     best = rows.withColumn("least", F.min("rank").over(Window.partitionBy("ref_id"))).where("rank = least and to_symbol_id is not null").drop("rank", "least")
-    return best.unionByName(imports.select("ref_id", "to_symbol_id", F.lit("import_scope").alias("rule"), F.lit(1).alias("candidates")))
+    return best.unionByName(followed.where("how = 'import'").select("ref_id", "to_symbol_id", F.lit("import_scope").alias("rule"), F.lit(1).alias("candidates")))
 
 
 def queue_edges(facts: Facts, actors: DataFrame, constants: DataFrame) -> DataFrame:

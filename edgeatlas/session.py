@@ -1,4 +1,4 @@
-"""Session helpers: the folder that all executors share, and tables that cut lineage."""
+"""Session helpers: the folder that driver and executors share, and tables that cut lineage."""
 
 from __future__ import annotations
 
@@ -7,33 +7,37 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: list[str] = []
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests, a single machine) a temporary folder is set once.
-    """
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where the session names none (tests, a single machine) a temporary folder is set once."""
     sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        current = sc._jsc.sc().getCheckpointDir()
-        found = current.get() if current.isDefined() else None
+    current = sc._jsc.sc().getCheckpointDir()
+    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or (current.get() if current.isDefined() else None)
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="edgeatlas-")
-        sc.setCheckpointDir(found)
-    elif not sc._jsc.sc().getCheckpointDir().isDefined():
+    if not current.isDefined():
         sc.setCheckpointDir(found)
     return found
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it back: computed once, lineage gone."""
-    spark = df.sparkSession
-    path = scratch(spark, label)
-    schema = df.schema
+    """Write ``df`` to the shared folder as Parquet and read it back: computed once, its lineage gone, safe from lost executors."""
+    path, schema = scratch(df.sparkSession, label), df.schema
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete what ``cut`` and ``scratch`` made in this process; results not yet written elsewhere are lost with it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
