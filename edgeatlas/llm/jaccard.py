@@ -23,8 +23,8 @@ from edgeatlas.llm.sketch import Sketch, at_least, levels
 from edgeatlas.llm.words import Words, blocks, mix, raw
 
 N, PERCENT = 5, 75
-#: Document frequencies: one row of 2**26 cells of 4 bits, 32 MB. Clustered signatures: 2**27 cells of 1 bit, 16 MB.
-FREQUENCY, CLUSTERED = Sketch(rows=1, cell_bits=26, times=15), Sketch(rows=1, cell_bits=27, times=1)
+#: Document frequencies: one row of 2**27 cells of 4 bits, 64 MB. Clustered signatures: 2**27 cells of 1 bit, 16 MB.
+FREQUENCY, CLUSTERED = Sketch(rows=1, cell_bits=27, times=15), Sketch(rows=1, cell_bits=27, times=1)
 LEVELS = (1, 2, 3, 4, 5, 6, 8, 12, 16, 24, 32, 64, 96, 128, 255)
 #: Entries that a chunk holds; sets and entries of a block at most (a larger single set is a block).
 CHUNK, BLOCK_SETS, BLOCK_ENTRIES = 1 << 20, 1024, 1 << 20
