@@ -5,9 +5,11 @@ from __future__ import annotations
 import os
 import subprocess
 import tomllib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from pathlib import Path, PurePosixPath
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -156,12 +158,27 @@ def manifest(spark: SparkSession, root: str | Path, config: Config | None = None
 
 
 def contents(spark: SparkSession, root: str | Path, files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(repo, path, lang, content, content_hash), and the files left out for their size."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"file://{Path(root).resolve()}")
-    raw = raw.select(F.regexp_replace("path", r"\Afile:/*", "/").alias("file_path"), "length", "content")
-    j = files.join(raw, "file_path")
-    small = j.where(F.col("length") <= LARGEST).select("repo", "path", "lang", "content", F.sha2("content", 256).alias("content_hash"))
-    return small, files.join(raw.drop("content").where(F.col("length") > LARGEST), "file_path").select("repo", "path", "length")
+    """(repo, path, lang, content, content_hash), and the files left out for their size.
+
+    Tasks open the files themselves, on the mount that the driver listed them from: Spark's own listing leaves out names that start
+    with ``_`` or ``.``. What is no longer a regular file under the root by then is left out.
+    """
+    top = Path(root)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = []
+            for repo, path, lang, name in zip(b["repo"], b["path"], b["lang"], b["file_path"], strict=True):
+                p = Path(name)
+                if inside(p, top):
+                    size = p.stat().st_size
+                    got.append((repo, path, lang, size, p.read_bytes() if size <= LARGEST else None))
+            yield pd.DataFrame(got, columns=["repo", "path", "lang", "length", "content"])
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    raw = files.repartition(n, "repo", "path").mapInPandas(read, "repo string, path string, lang string, length long, content binary")
+    small = raw.where("content is not null").select("repo", "path", "lang", "content", F.sha2("content", 256).alias("content_hash"))
+    return small, raw.where("content is null").select("repo", "path", "length")
 
 
 __all__ = ["Config", "ConfigError", "IngestError", "contents", "discover_repos", "glob_regex", "head_sha", "inside", "load_config", "manifest", "project_roots", "repo_name", "tracked_files"]

@@ -58,7 +58,7 @@ def test_questions(spark, built):
     over = g.repo_overview("store").data[0]
     assert over["languages"]["python"]["files"] == 5 and ("store.pricing.quote", 1) in over["hotspots"]
     st = g.status().data[0]
-    assert st["n_edges"] == len(EDGES) and st["unresolved_links"] == 0
+    assert st["n_edges"] == len(EDGES) + 2 and st["unresolved_links"] == 0
     for name, error in (("nothing_like_it", "not_found"), ("", "invalid_argument")):
         with pytest.raises(ToolError) as e:
             g.what_calls(name)
