@@ -207,6 +207,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     rows = texts.mapInArrow(prefixes, "column long, a long, class int, b long")
     candidates = rows.repartition("column").mapInArrow(columns, "a long, b long")
     clusters = cut(components(candidates).select(F.col("node").alias("sig"), F.col("component").alias("cluster")), "clusters")
+    often.destroy()  # what it served is written
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,6 +253,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     links = jobs.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(multiply, "a long, b long")
     joined = components(links)
+    inside.destroy()
     named = signed.join(joined, signed.sig == joined.node, "left").select("doc_id", "n_shingles", "sig", F.coalesce("component", "sig").alias("root"))
     ids = named.where("sig != 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     alone = named.where("sig = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
