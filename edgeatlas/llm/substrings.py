@@ -16,17 +16,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeatlas.llm.session import small_batches
-from edgeatlas.llm.sketch import Sketch, at_least
+from edgeatlas.llm.sketch import Sketch, at_least, decode, encode
 from edgeatlas.llm.words import Words, blocks, covered, mix, raw
 
 WINDOW = 35
 SKETCH = Sketch(rows=2, cell_bits=28)
-#: Windows that one chunk sketches, and windows let through that one chunk of pass 2 holds.
-CHUNK = 1 << 20
+#: Windows that one chunk sketches (more make its cells denser and their differences shorter), and windows let through that one
+#: chunk of pass 2 holds.
+SKETCH_CHUNK, CHUNK = 1 << 22, 1 << 20
 
 
 def window_hashes(column: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -50,7 +52,7 @@ def repeated_starts(docs: DataFrame, k: int = WINDOW) -> DataFrame:
             for _, _, h in window_hashes(batch.column(1), k):
                 held.append(h)
                 n += len(h)
-                if n >= CHUNK:
+                if n >= SKETCH_CHUNK:
                     yield SKETCH.partial(np.concatenate(held))
                     held, n = [], 0
         if n:
@@ -68,19 +70,13 @@ def repeated_starts(docs: DataFrame, k: int = WINDOW) -> DataFrame:
         def flush():
             key, at, h = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.argsort(h, kind="stable")
-            key, at, h = key[order], at[order], h[order]
-            new = np.concatenate([[True], h[1:] != h[:-1]])
+            new = np.ones(len(h), bool)
+            new[1:] = h[order][1:] != h[order][:-1]
             size = np.diff(np.append(np.flatnonzero(new), len(h)))
-            many = np.repeat(size > 1, size)
-            bucket, blob = _packed(key[many], at[many], n_buckets)
-            at = np.where(many, REPEATED, at)
-            one = np.flatnonzero(~many | new)  # one row stands for all of a window's places here
-            one = one[np.argsort(order[one])]  # in the order of the texts, which compresses
-            m, b = len(one), len(bucket)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([h[one].view(np.int64), mix(bucket.astype(np.uint64)).view(np.int64)])), pa.array(np.concatenate([key[one], bucket])), pa.array(np.concatenate([at[one], np.full(b, SETTLED)]).astype(np.int32)), pa.array([None] * m + blob, pa.binary())],
-                names=["h", "key", "at", "blob"],
-            )
+            many, first = np.zeros(len(h), bool), np.zeros(len(h), bool)
+            many[order], first[order] = np.repeat(size > 1, size), new
+            yield _batch(*_packed(key[many], at[many], n_buckets), True)
+            yield _batch(*_counted(h, key, at, ~many, many & first, n_buckets), False)
 
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
@@ -95,22 +91,21 @@ def repeated_starts(docs: DataFrame, k: int = WINDOW) -> DataFrame:
             yield from flush()
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
+        held: dict[int, list[bytes]] = {}
         for batch in batches:
-            h, key, at = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            settled = at == SETTLED
-            if settled.any():
-                yield pa.RecordBatch.from_arrays([batch.column(1).filter(pa.array(settled)), batch.column(3).filter(pa.array(settled))], names=["bucket", "blob"])
-            held.append((h[~settled], key[~settled], at[~settled].astype(np.int32)))
-        if held:
-            h, key, at = (np.concatenate(x) for x in zip(*held, strict=True))
+            settled = batch.column(2)
+            yield batch.filter(settled)
+            for b, blob in zip(*(c.to_pylist() for c in batch.filter(pc.invert(settled)).columns[:2]), strict=True):
+                held.setdefault(b, []).append(blob)
+        for blobs in held.values():
+            parts = [_uncounted(b) for b in blobs]
+            h, key, at = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.argsort(h, kind="stable")
             h, key, at = h[order], key[order], at[order]
             start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
             weight = np.add.reduceat(np.where(at == REPEATED, 2, 1), start) if len(h) else start
             many = np.repeat(weight > 1, np.diff(np.append(start, len(h)))) & (at >= 0)
-            bucket, blob = _packed(key[many], at[many], n_buckets)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(blob, pa.binary())], names=["bucket", "blob"])
+            yield _batch(*_packed(key[many], at[many], n_buckets), True)
 
     def regroup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = [x.as_py() for batch in batches for x in batch.column(1)]
@@ -125,13 +120,57 @@ def repeated_starts(docs: DataFrame, k: int = WINDOW) -> DataFrame:
                 s, e = first[i : i + 1024], ends[i : i + 1024]
                 yield pa.RecordBatch.from_arrays([pa.array(keys[s]), pa.array([at[a:b].tobytes() for a, b in zip(s, e, strict=True)], pa.binary())], names=["key", "starts"])
 
-    rows = docs.mapInArrow(candidates, "h long, key long, at int, blob binary")
-    packed = rows.repartition("h").mapInArrow(exact, "bucket long, blob binary")
-    return packed.repartition("bucket").mapInArrow(regroup, "key long, starts binary")
+    kind = "bucket long, blob binary, settled boolean"
+    rows = docs.mapInArrow(candidates, kind).repartition(n_buckets, "bucket")
+    return rows.mapInArrow(exact, kind).repartition(n_buckets, "bucket").mapInArrow(regroup, "key long, starts binary")
+
+
+#: In place of a start word: a window met more than once in its chunk, whose places are settled there.
+REPEATED = -1
+
 
+def _batch(bucket: np.ndarray, blob: list[bytes], settled: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(blob, pa.binary()), pa.array([settled] * len(blob), pa.bool_())], names=["bucket", "blob", "settled"])
 
-#: In place of a start word: a window met more than once in its chunk; start words that need no more counting.
-REPEATED, SETTLED = -1, -2
+
+def _counted(h: np.ndarray, key: np.ndarray, at: np.ndarray, once: np.ndarray, stands: np.ndarray, buckets: int) -> tuple[np.ndarray, list[bytes]]:
+    """Windows to be counted, dealt by hash, in text order: hashes, then keys once per run, run lengths and delta-coded starts.
+
+    ``once`` are windows met once here, ``stands`` one place of each window met more often; the latter carry no place.
+    """
+    take = np.flatnonzero(once | stands)
+    bucket = (mix(h[take]) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((stands[take], bucket))
+    take, bucket = take[order], bucket[order]
+    bounds = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.zeros(1, np.int64)
+    blobs = []
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        t = take[a:b]
+        single = t[once[t]]
+        k, p = key[single], at[single].astype(np.int64)
+        runs = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (p[1:] < p[:-1])])) if len(k) else np.zeros(0, np.int64)
+        size = np.diff(np.append(runs, len(k)))
+        last = np.append(p[runs[1:] - 1], 0)[: len(runs)] if len(runs) else runs
+        shift = np.concatenate([[0], np.cumsum(last)])[: len(runs)]
+        head = np.array([len(t), len(single), len(runs)], np.int64)
+        blobs.append(head.tobytes() + h[t].tobytes() + k[runs].tobytes() + size.astype(np.int64).tobytes() + encode(p + np.repeat(shift, size)))
+    return bucket[bounds[:-1]], blobs
+
+
+def _uncounted(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, key, start) of ``_counted``'s windows; ``REPEATED`` in place of a start where there is none."""
+    n, single, runs = np.frombuffer(blob, np.int64, 3)
+    h = np.frombuffer(blob, np.uint64, n, 24)
+    k = np.frombuffer(blob, np.int64, runs, 24 + 8 * n)
+    size = np.frombuffer(blob, np.int64, runs, 24 + 8 * (n + runs))
+    moved = decode(blob[24 + 8 * (n + 2 * runs) :])
+    key, at = np.zeros(n, np.int64), np.full(n, REPEATED, np.int64)
+    if single:
+        ends = np.cumsum(size) - 1
+        last = np.diff(moved[ends], prepend=0)  # a run's last start, as the next run's shift grew by it
+        key[:single] = np.repeat(k, size)
+        at[:single] = moved - np.repeat(np.concatenate([[0], np.cumsum(last)])[:runs], size)
+    return h, key, at
 
 
 def _packed(key: np.ndarray, at: np.ndarray, buckets: int) -> tuple[np.ndarray, list[bytes]]:
