@@ -1,42 +1,12 @@
-"""Session helpers shared by the operators: scratch space and checkpoints."""
+"""Session helpers of the operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from edgeatlas.session import cut, discard, scratch, shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the session names none (tests, a single machine) a temporary folder is set once.
-    """
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        current = sc._jsc.sc().getCheckpointDir()
-        found = current.get() if current.isDefined() else None
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="edgeatlas-")
-        sc.setCheckpointDir(found)
-    elif not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(found)
-    return found
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, label: str = "cut") -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it back: computed once, lineage gone."""
-    spark = df.sparkSession
-    path = scratch(spark, label)
-    schema = df.schema
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+__all__ = ["cut", "discard", "scratch", "shared_dir", "small_batches"]
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
