@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 
 TABLES = "documents embeddings pages benchmark labels conversations events lineitem orders customer supplier part nation region".split()
 
@@ -16,7 +17,7 @@ def connect(sf_dir):
 
 
 def _cell(x):
-    if x is None or x != x:
+    if x is None or x is pd.NA or x != x:
         return ""
     if isinstance(x, bool) or type(x).__name__ == "bool_":
         return str(bool(x))
