@@ -97,8 +97,11 @@ class Catalog:
         return at
 
 
-def build(spark: SparkSession, catalog: Catalog, files: DataFrame, repo_rows: list[tuple[str, str, str]], extra: tuple[str, ...] = (), now: dt.datetime | None = None) -> dict[str, int]:
-    """Bring the catalog to ``files`` (repo, path, lang, content, content_hash). Returns counts of added, changed, removed and same files."""
+def build(spark: SparkSession, catalog: Catalog, files: DataFrame, repo_rows: list[tuple[str, str, str]], extra: tuple[str, ...] = (), now: dt.datetime | None = None, keep: tuple[str, ...] = ()) -> dict[str, int]:
+    """Bring the catalog to ``files`` (repo, path, lang, content, content_hash). Returns counts of added, changed, removed and same files.
+
+    Repositories in ``keep``, and projects below them, stay as they were: their scan failed.
+    """
     now = now or dt.datetime.now(dt.UTC).replace(tzinfo=None)
     fingerprint = resolver_fingerprint() + "/" + secrets.fingerprint(extra)
     keyed = files.withColumn("raw_path", F.col("path"))
@@ -108,6 +111,14 @@ def build(spark: SparkSession, catalog: Catalog, files: DataFrame, repo_rows: li
     keys = ["repo", "raw_path"]
     new_hashes = keyed.select(*keys, "content_hash")
     old_hashes = old.select(*keys, "content_hash") if old is not None else new_hashes.limit(0)
+    if keep and old is not None:
+        stays = F.col("repo").isin(*keep)
+        for k in keep:
+            stays = stays | F.col("repo").startswith(k + "/")
+        new_hashes = new_hashes.unionByName(old_hashes.where(stays))
+        have = {n for n, _, _ in repo_rows}
+        before = catalog.table("repos").withColumnRenamed("name", "repo").where(stays).collect()
+        repo_rows = [*repo_rows, *((r["repo"], r["path"], r["head_sha"]) for r in before if r["repo"] not in have)]
     state = cut(diff(old_hashes, new_hashes, keys), "diff")
     counts = {r["state"]: r["count"] for r in state.groupBy("state").count().collect()}
     fresh = keyed.join(state.where(F.col("state").isin("added", "changed")), keys, "left_semi")
@@ -133,7 +144,7 @@ def build(spark: SparkSession, catalog: Catalog, files: DataFrame, repo_rows: li
 
 
 def index_root(spark: SparkSession, catalog: Catalog, root: str, config: R.Config | None = None) -> dict[str, int]:
-    files, repos, notes = R.manifest(spark, root, config)
+    files, repos, failed, notes = R.manifest(spark, root, config)
     small, large = R.contents(spark, root, files)
-    counts = build(spark, catalog, small, [(n, p, s) for n, (p, s) in repos.items()], tuple((config or R.Config()).extra_redaction_patterns))
-    return counts | {"skipped_large": large.count(), "notes": len(notes)}
+    counts = build(spark, catalog, small, [(n, p, s) for n, (p, s) in repos.items()], tuple((config or R.Config()).extra_redaction_patterns), keep=tuple(failed))
+    return counts | {"skipped_large": large.count(), "failed": len(failed), "notes": len(notes)}

@@ -131,15 +131,21 @@ def project_roots(tracked: list[str], mode: str | list[str] = "auto") -> list[st
     return sorted(out - {"."})
 
 
-def manifest(spark: SparkSession, root: str | Path, config: Config | None = None) -> tuple[DataFrame, dict[str, tuple[str, str]], list[str]]:
-    """(repo, path, file_path) of the files to index; per repository its folder and commit; notes.
+def manifest(spark: SparkSession, root: str | Path, config: Config | None = None) -> tuple[DataFrame, dict[str, tuple[str, str]], list[str], list[str]]:
+    """(repo, path, file_path) of the files to index; per repository its folder and commit; repositories that git can't read; notes.
 
     A file belongs to the deepest project folder above it, and its path starts there; the rest stays with the repository.
     """
     config, root = config or Config(), Path(root)
-    rows, repos, notes = [], {}, []
+    rows, repos, failed, notes = [], {}, [], []
     for repo in discover_repos(root):
-        name, sha, tracked = repo_name(root, repo), head_sha(repo), tracked_files(repo)
+        name = repo_name(root, repo)
+        try:
+            sha, tracked = head_sha(repo), tracked_files(repo)
+        except IngestError as e:
+            failed.append(name)
+            notes.append(f"{name}: {e}")
+            continue
         projects = project_roots(tracked, config.projects)
         for p in projects:
             if isinstance(config.projects, list) and not any(t.startswith(p + "/") for t in tracked):
@@ -154,7 +160,7 @@ def manifest(spark: SparkSession, root: str | Path, config: Config | None = None
         repos.setdefault(name, (str(repo), sha))
     df = spark.createDataFrame(rows, "repo string, path string, file_path string")
     df = df.withColumn("lang", language(F.col("path"))).where(included(F.col("path"), config.include, config.exclude))
-    return df.where(F.col("lang").isin("config", "overrides", *config.languages)), repos, notes
+    return df.where(F.col("lang").isin("config", "overrides", *config.languages)), repos, failed, notes
 
 
 def contents(spark: SparkSession, root: str | Path, files: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -80,6 +80,10 @@ def test_steps_equal_all_at_once(spark, built, tmp_path):
     ix.index_root(spark, fresh, str(root))
     assert names(Engine(spark, str(store))) == names(Engine(spark, str(tmp_path / "fresh")))
     assert ix.Catalog(spark, store).table("index_runs").count() == 3
+    (root / "carriers/.git").rename(root / "carriers/away")
+    (root / "carriers/.git").mkdir()  # git can't read it now: its rows stay
+    counts = ix.index_root(spark, catalog, str(root))
+    assert counts["failed"] == 1 and counts["same"] == sum(len(f) for f in CORPUS.values())
     stale = Engine(spark, str(store), head_fn=lambda path: None).what_calls("store.pricing.quote")
     assert stale.stale and stale.notes
 
