@@ -5,9 +5,11 @@ vector with its own code. The product of a code with another vector's rotated fo
 estimate of their cosine whose error shrinks with the factor and the dimension. A pair whose estimate plus bound stays under
 the threshold is dropped, every other pair is computed again in double precision.
 
-Pairs are looked for in cells: each vector enters the cells of its ``PROBES`` nearest centres (a bounded sample of the
-vectors) and a pair counts in the least cell both share. Equal vectors collapse beforehand. Large cells are cut into
-blocks, a job is a pair of blocks, and only counts and a spanning forest of its links leave a job.
+No pair at or above the threshold is left out of that estimate. A vector's home is the cell of its nearest centre (a bounded sample, near copies
+of a centre left out), in a near or a far ring. It visits each cell that a partner could have as home: two bounds follow from
+the least distance and the least angle between vectors that are no partners. Cells are put together or cut into blocks, a job is a pair
+of blocks and sees a pair of vectors once, and only counts and a spanning forest of its links leave a job. Equal vectors collapse
+beforehand. Where vectors have nothing in common no bound excludes a cell, so work among those is quadratic.
 """
 
 from __future__ import annotations
@@ -19,15 +21,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeatlas.llm.components import components, forest
+from edgeatlas.llm.components import components
 from edgeatlas.llm.session import cut
 
 THRESHOLD = 0.9
 #: Standard deviations that a pair's estimate may fall short by.
 DEVIATIONS = 4.0
-#: Cells that a vector enters; centres are 2 * sqrt(vectors) in number, within these bounds.
-PROBES, LEAST_CENTRES, MOST_CENTRES = 6, 8, 16384
-BLOCK = 1024
+#: Centres are 2 * sqrt(vectors) in number, within these bounds, less the near copies among them.
+LEAST_CENTRES, MOST_CENTRES = 8, 16384
+#: Cosine to the centre from which a vector is in the near ring of its cell.
+RING = 0.6
+#: Vectors of a block, at most; each vector is sent to at most as many jobs as there are blocks. Rows computed at once in a job.
+BLOCK, ROWS = 4096, 256
 SEED = 11
 
 
@@ -51,16 +56,104 @@ class Codes:
         return (self.signs @ other.turned.astype(np.float32).T) / (np.sqrt(self.dim) * self.factor)[:, None]
 
 
+def linked_parts(a: np.ndarray, b: np.ndarray, turn: np.ndarray, threshold: float = THRESHOLD, deviations: float = DEVIATIONS) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """``linked`` for a few rows of ``a`` at a time, in order."""
+    cb = Codes(b, turn)
+    for start in range(0, len(a), ROWS):
+        part = a[start : start + ROWS]
+        ca = Codes(part, turn)
+        least = (threshold - 1e-5 - deviations * ca.deviation).astype(np.float32)
+        maybe = ca.estimate(cb) >= least[:, None]
+        n = int(np.count_nonzero(maybe))
+        if n > maybe.size // 16:
+            x, y = np.nonzero(maybe & (part @ b.T >= threshold))
+        else:
+            x, y = np.nonzero(maybe)
+            ok = np.einsum("ij,ij->i", part[x], b[y]) >= threshold
+            x, y = x[ok], y[ok]
+        yield x + start, y, n
+
+
 def linked(a: np.ndarray, b: np.ndarray, turn: np.ndarray, threshold: float = THRESHOLD, deviations: float = DEVIATIONS) -> tuple[np.ndarray, np.ndarray, int]:
     """Index pairs of unit vectors with cosine at or above the threshold, and how many pairs were computed exactly."""
-    ca, cb = Codes(a, turn), Codes(b, turn)
-    maybe = ca.estimate(cb) + deviations * ca.deviation[:, None] + 1e-5 >= threshold
-    x, y = np.nonzero(maybe)
-    ok = np.empty(len(x), bool)
-    for i in range(0, len(x), 1 << 17):
-        s = slice(i, i + (1 << 17))
-        ok[s] = np.einsum("ij,ij->i", a[x[s]], b[y[s]]) >= threshold
-    return x[ok], y[ok], len(x)
+    parts = list(linked_parts(a, b, turn, threshold, deviations))
+    if not parts:
+        return np.empty(0, int), np.empty(0, int), 0
+    x, y, n = zip(*parts, strict=True)
+    return np.concatenate(x), np.concatenate(y), sum(n)
+
+
+def unite(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Labels (each the least index of its tree) after the links x, y."""
+    while len(x):
+        a, b = label[x], label[y]
+        apart = a != b
+        x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+        up = np.arange(len(label))
+        np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
+        while (up[up] != up).any():
+            up = up[up]
+        label = up[label]
+    return label
+
+
+def spread(sample: np.ndarray, threshold: float) -> np.ndarray:
+    """The rows (unit vectors) that have no cosine at or above the threshold with an earlier one that stays."""
+    kept = np.empty_like(sample)
+    n = 0
+    for row in sample:
+        if not n or (kept[:n] @ row).max() < threshold:
+            kept[n] = row
+            n += 1
+    return kept[:n]
+
+
+class Cells:
+    """Rings of centres, dealt to blocks, and which of them hold a vector's possible partners.
+
+    ``stats``: (home, ring, vectors, least and greatest cosine to the centre), a row per ring that holds vectors.
+    """
+
+    def __init__(self, centres: np.ndarray, stats: list[tuple], threshold: float, block: int):
+        self.centres, self.reach = centres.astype(np.float32), np.sqrt(max(0.0, 2 - 2 * threshold))
+        angle, slack = np.arccos(np.clip(threshold, -1, 1)), 1e-3
+        self.blocks: dict[tuple[int, int], tuple[int, int]] = {}
+        entries, n_blocks, room = [], 0, 0
+        for home, ring, n, low, high in sorted(stats, key=lambda r: (-r[3], r[0], r[1])):
+            if n > block:
+                own = -(-n // block)
+                self.blocks[home, ring] = (n_blocks, own)
+                n_blocks, room = n_blocks + own, 0
+            else:
+                if n > room:
+                    n_blocks, room = n_blocks + 1, block
+                self.blocks[home, ring] = (n_blocks - 1, 1)
+                room -= n
+            far, near = (float(np.arccos(np.clip(c, -1, 1))) for c in (low, high))
+            first, own = self.blocks[home, ring]
+            bounds = (np.cos(min(np.pi, far + angle + slack)) - 1e-5, np.cos(max(0.0, near - angle - slack)) + 1e-5)
+            entries += [(b, home, *bounds) for b in range(first, first + own)]
+        entries.sort()
+        self.entry_home = np.array([e[1] for e in entries], int)
+        self.low, self.high = (np.array([e[k] for e in entries], np.float32) for k in (2, 3))
+        self.starts = np.flatnonzero(np.diff([-1, *(e[0] for e in entries)]))
+
+    def block_of(self, home: np.ndarray, ring: np.ndarray, node: np.ndarray) -> np.ndarray:
+        first, own = np.array([self.blocks[k] for k in zip(home.tolist(), ring.tolist(), strict=True)], np.int64).reshape(-1, 2).T
+        return first + node % own
+
+    def visited(self, unit: np.ndarray, home: np.ndarray) -> np.ndarray:
+        """Vectors x blocks: whether the block may hold a partner of the vector.
+
+        A partner y is at least as near to its own centre c as to this one's h, so x.(h - c) is at most |x - y| |h - c|; and
+        its angle to c differs from that of x by no more than the threshold's angle.
+        """
+        p = unit.astype(np.float32) @ self.centres.T
+        apart = np.sqrt(np.maximum(0, 2 - 2 * (self.centres[home] @ self.centres.T)))
+        side = p[np.arange(len(p)), home][:, None] - p <= self.reach * apart + 1e-3
+        q = p[:, self.entry_home]
+        may = side[:, self.entry_home] & (q >= self.low) & (q <= self.high)
+        return np.logical_or.reduceat(may, self.starts, axis=1)
 
 
 def _unit(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,68 +193,59 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     k = int(min(MOST_CENTRES, max(LEAST_CENTRES, 2 * np.sqrt(n))))
     sample = np.array([r[0] for r in nodes.orderBy(F.xxhash64("node", F.lit(SEED)), "node").select("embedding").limit(k).collect()], float).reshape(-1, max(dim, 1))
     sample /= np.linalg.norm(sample, axis=1, keepdims=True) if len(sample) else 1
-    centres = spark.sparkContext.broadcast(sample)
+    centres = spark.sparkContext.broadcast(spread(sample, threshold))
     turn = rotation(max(dim, 1))
-    probes = min(PROBES, max(1, len(sample)))
+    kind = nodes.schema["embedding"].dataType.simpleString()
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = centres.value.astype(np.float32)
         for batch in batches:
             unit, _ = _unit(batch.column(1), dim)
-            near = []
-            for i in range(0, len(unit), 1024):
-                near.append(np.argpartition(-(unit[i : i + 1024].astype(np.float32) @ c.T), probes - 1, axis=1)[:, :probes])
-            near = np.sort(np.concatenate(near), axis=1).astype(np.int32)
-            m = len(unit)
-            flat = near.reshape(-1)
-            rep = np.repeat(np.arange(m), probes)
-            cells = [x.tobytes() for x in near]
-            vec = [x.tobytes() for x in unit]
-            for i in range(0, len(flat), 4096):
-                s = rep[i : i + 4096]
-                yield pa.RecordBatch.from_arrays([pa.array(flat[i : i + 4096]), batch.column(0).take(pa.array(s)), batch.column(2).take(pa.array(s)), pa.array([cells[j] for j in s], pa.binary()), pa.array([vec[j] for j in s], pa.binary())], names=["cell", "node", "copies", "cells", "unit"])
-
-    placed = cut(nodes.select("node", "embedding", "copies").mapInArrow(assign, "cell int, node long, copies long, cells binary, unit binary"), "placed")
-    size = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))  # a row per centre
-    p = placed.join(F.broadcast(size), "cell").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
-    jobs = p.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select("cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "copies", "cells", "unit")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-
-        def done():
-            cell, i, j = now
-            block, node, copies = (np.array(x, np.int64) for x in list(zip(*held, strict=True))[:3])
-            cells = np.frombuffer(b"".join(h[3] for h in held), np.int32).reshape(len(held), -1)
-            unit = np.frombuffer(b"".join(h[4] for h in held), np.float64).reshape(len(held), -1)
-            a = np.flatnonzero(block == i)
-            b = np.flatnonzero(block == j)
-            x, y, _ = linked(unit[a], unit[b], turn, threshold)
+            home, cosine = np.empty(len(unit), np.int32), np.empty(len(unit))
+            for i in range(0, len(unit), ROWS):
+                p = unit[i : i + ROWS].astype(np.float32) @ c.T
+                home[i : i + ROWS], cosine[i : i + ROWS] = p.argmax(1), p.max(1)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(home), pa.array((cosine >= RING).astype(np.int32)), pa.array(cosine)], names=["node", "embedding", "copies", "home", "ring", "cosine"])
+
+    placed = cut(nodes.select("node", "embedding", "copies").mapInArrow(assign, f"node long, embedding {kind}, copies long, home int, ring int, cosine double"), "placed")
+    stats = placed.groupBy("home", "ring").agg(F.count("*"), F.min("cosine"), F.max("cosine")).collect()  # two rows a centre
+    cells = spark.sparkContext.broadcast(Cells(centres.value, [tuple(r) for r in stats], threshold, BLOCK))
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, home, ring = (batch.column(k).to_numpy() for k in (0, 3, 4))
+            unit, _ = _unit(batch.column(1), dim)
+            block = cells.value.block_of(home, ring, node)
+            for i in range(0, len(unit), ROWS):
+                may = cells.value.visited(unit[i : i + ROWS], home[i : i + ROWS])
+                own = block[i : i + ROWS]
+                may[np.arange(len(own)), own] = True
+                x, to = np.nonzero(may)
+                for k in range(0, len(x), 4096):
+                    at, other = x[k : k + 4096], to[k : k + 4096]
+                    mine = own[at]
+                    ends = (np.minimum(mine, other), np.maximum(mine, other), mine)
+                    rows = pa.array(at + i)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(e.astype(np.int32)) for e in ends), *(batch.column(c).take(rows) for c in (0, 2, 1))], names=["i", "j", "block", "node", "copies", "embedding"])
+
+    jobs = placed.mapInArrow(visit, f"i int, j int, block int, node long, copies long, embedding {kind}")
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        i, j = (k.as_py() for k in key)
+        block, node, copies = (table.column(k).to_numpy() for k in ("block", "node", "copies"))
+        unit, _ = _unit(table.column("embedding").combine_chunks(), dim)
+        a, b, m = np.flatnonzero(block == i), np.flatnonzero(block == j), len(node)
+        links, label = np.zeros(m), np.arange(m)
+        for x, y, _ in linked_parts(unit[a], unit[b], turn, threshold):
             x, y = a[x], b[y]
             if i == j:
                 x, y = x[x < y], y[x < y]
-            least = np.full(len(x), -1)
-            for q in range(cells.shape[1] - 1, -1, -1):  # least cell that both entered
-                shared = (cells[y] == cells[x, q][:, None]).any(1)
-                least[shared] = cells[x, q][shared]
-            x, y = x[least == cell], y[least == cell]
-            links = np.bincount(x, copies[y], len(held)) + np.bincount(y, copies[x], len(held))
-            at = np.flatnonzero(links)
-            tree = np.array(forest(node[x], node[y]), np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([node[at], tree[:, 0]])), pa.array(np.concatenate([links[at].astype(np.int64), np.zeros(len(tree), np.int64)])), pa.array(np.concatenate([node[at], tree[:, 1]]))], names=["node", "links", "to"])
+            links += np.bincount(x, copies[y], m) + np.bincount(y, copies[x], m)
+            label = unite(label, x, y)
+        at = np.flatnonzero(links)
+        return pa.table({"node": node[at], "links": links[at].astype(np.int64), "to": node[label[at]]})
 
-        for batch in batches:
-            keys = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
-            for key, row in zip(keys, zip(*(batch.column(k).to_pylist() for k in range(3, 8)), strict=True), strict=True):
-                if key != now:
-                    if len(held) > 1:
-                        yield done()
-                    now, held = key, []
-                held.append(row)
-        if len(held) > 1:
-            yield done()
-
-    found = cut(jobs.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(compare, "node long, links long, to long"), "links")
+    found = cut(jobs.groupBy("i", "j").applyInArrow(compare, "node long, links long, to long"), "links")
     count = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("to").alias("b"))).withColumnRenamed("node", "c_node")
     named = nodes.select("node", "copies", "least").join(count, "node", "left").join(roots, F.col("node") == F.col("c_node"), "left")

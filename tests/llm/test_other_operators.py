@@ -148,6 +148,25 @@ def test_vectors_against_brute_force(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("block", [128, 4096])
+def test_every_link_of_a_large_group_counts(spark, monkeypatch, block):
+    """A third of the vectors are near copies of each other with independent noise, links down to the threshold; others are alone or in pairs."""
+    monkeypatch.setattr(vectors, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    alone = unit(rng.normal(size=(1000, 64)))
+    v = np.concatenate([unit(rng.normal(size=(1, 64))) + rng.normal(size=(700, 64)) * 0.0405, alone, alone[:400] + rng.normal(size=(400, 64)) * 0.055]).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r for r in vectors.near_duplicates(df).collect()}
+    m = unit(v.astype(float))
+    link = m @ m.T >= 0.9
+    np.fill_diagonal(link, False)
+    assert 0.2 < link[:700, :700].mean() < 0.99 and 0.2 < link[1700:, 700:1100].sum() / 400 < 0.99
+    assert [got[i]["n_links"] for i in range(len(v))] == link.sum(1).tolist()
+    label = vectors.unite(np.arange(len(v)), *np.nonzero(link))
+    assert [got[i]["component_id"] for i in range(len(v))] == label.tolist()
+
+
 def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(3)
     unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
