@@ -35,8 +35,8 @@ class Encoder:
     """Ids of whole texts as uint32 bytes.
 
     The tokenizer file's own vocabulary, where ids are merge ranks, also drives the faster rank encoder of ``tiktoken``; both
-    give the same ids, which is checked on ``PROBES`` at the start. Where they differ, or a text is too much for the
-    faster one, the tokenizer itself encodes.
+    give the same ids for texts without added tokens, which is checked on ``PROBES`` at the start. Where they differ, a text is too
+    much for the faster one, or it holds one of the file's added tokens, the tokenizer itself encodes, as loaded.
     """
 
     def __init__(self, path: str):
@@ -46,9 +46,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.fast = self._ranks(path)
-        if self.fast and any(self.fast(t) != self.slow(t) for t in PROBES):
+        if self.fast and any(self.fast(t) != self.slow(t) for t in PROBES if not self.holds_added(t)):
             self.fast = None
 
     def _ranks(self, path: str):
@@ -68,11 +68,14 @@ class Encoder:
             return None
         return tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
+    def holds_added(self, text: str) -> bool:
+        return any(t in text for t in self.added)
+
     def slow(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
     def encode(self, text: str) -> array:
-        if self.fast:
+        if self.fast and not self.holds_added(text):
             try:
                 return array("I", self.fast(text))
             except (ValueError, RuntimeError, OverflowError):

@@ -231,6 +231,20 @@ def test_pieces_and_sequences(docs):
     assert len(sequences) <= 1.05 * sum(r["length"] for r in got) / 1024 + 1
 
 
+def test_added_tokens_have_the_ids_of_the_file(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.tokenizer_path())
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x\n <|endoftext|>", "<|endoftext", "plain words"]
+    enc = packing.Encoder(packing.tokenizer_path())
+    assert enc.fast and [list(enc.encode(t)) for t in texts] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50256 in enc.encode(texts[0])
+    got = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        ids = [*tok.encode(t, add_special_tokens=False).ids, 2]
+        assert got[i] == (len(ids), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids)))
+
+
 def test_reduction_loses_no_sequence():
     from functools import lru_cache
 
