@@ -318,6 +318,26 @@ def test_glued_numbers_and_secrets_are_found_and_redacted(spark):
     assert text[0].startswith("pay [card] or call [phone] from [ip], ") and "token = \"[secret]\"" in text[0]
 
 
+def test_a_long_log_leaves_examples_of_other_kinds(spark, monkeypatch):
+    """More candidates of an early kind than the bound: the others' trees still learn, in every fold."""
+    rng = random.Random(4)
+
+    def card():
+        while not luhn(x := "".join(rng.choices("0123456789", k=16))):
+            pass
+        return x
+
+    rows = [(i, f"pay {card()} now, token = \"{hashlib.sha1(str(i).encode()).hexdigest()}\" end") for i in range(120)]
+    rows += [(1000 + i, " ".join(f"10.0.{i}.{k % 250}" for k in range(700))) for i in range(6)]
+    rows.append((999, "two 4111111111111111 5500005555555559 glued"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(pii, "SAMPLE_SPANS", 600)
+    model = pii.fit(df)
+    assert all(model.cuts[pii.KINDS.index(k)] <= 1 for k in ("card", "secret"))
+    spans = {r[0]: r[1] for r in pii.find(df, model).select("doc_id", pii.digest(F.col("__pii.all"))).collect()}
+    assert spans[999] == "card:4:20,card:21:37" and all("secret:" in spans[i] for i in range(120))
+
+
 # ---- toxicity
 
 def test_forward_backward_against_enumeration():
