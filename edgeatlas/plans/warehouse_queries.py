@@ -256,6 +256,30 @@ def rule_counts(spark, d):
     return _named(spark, d).groupBy("rule").agg(F.count("*").alias("n"))
 
 
+# the same rules over all customers: a name is shared by five keys at most, whatever the size of the table
+
+_NAME_ALL_SQL = _NAME_SQL.replace("'customer:' || (o_custkey % 97)", "'customer:' || (o_custkey // 5)").replace("'customer:' || (c_custkey % 131)", "'customer:' || (c_custkey // 5)").replace(" WHERE c_custkey < 700", "")
+
+
+def _named_all(spark, d) -> DataFrame:
+    from edgeatlas.operators.resolve import by_name
+
+    label = lambda col: F.concat(F.lit("customer:"), F.floor(F.col(col) / 5).cast("string"))
+    refs = wh.table(spark, d, "orders").select(F.col("o_orderkey").alias("ref_id"), label("o_custkey").alias("to_name"), (F.col("o_custkey") % 5).cast("string").alias("repo"), F.lit("python").alias("lang"))
+    syms = wh.table(spark, d, "customer").select(F.col("c_custkey").alias("symbol_id"), label("c_custkey").alias("name"), (F.col("c_nationkey") % 5).cast("string").alias("repo"), F.lit("python").alias("lang"), F.lit("function").alias("kind"))
+    return by_name(refs, syms)
+
+
+@query("by_name_rules_all", f"WITH {_NAME_ALL_SQL} SELECT ref_id, to_symbol_id, rule, candidates FROM edges")
+def by_name_rules_all(spark, d):
+    return _named_all(spark, d).select("ref_id", "to_symbol_id", "rule", "candidates")
+
+
+@query("rule_counts_all", f"WITH {_NAME_ALL_SQL} SELECT rule, COUNT(*) AS n FROM edges GROUP BY rule")
+def rule_counts_all(spark, d):
+    return _named_all(spark, d).groupBy("rule").agg(F.count("*").alias("n"))
+
+
 @query("stoplist_filter", "SELECT event_id, event_type AS name FROM events WHERE event_type NOT IN ('error', 'open', 'close', 'log')")
 def stoplist_filter(spark, d):
     from edgeatlas.operators.resolve import stoplisted
@@ -345,7 +369,16 @@ def calibration(spark, d):
 
 @query("span_containment", "SELECT CAST(p.o_custkey AS VARCHAR) AS path, p.line, arg_min(q, (b - a) * 1000000 + k) AS qualified_name FROM (SELECT DISTINCT o_custkey, CAST(o_orderkey % 50 AS INTEGER) AS line FROM orders WHERE o_custkey <= 300) p JOIN (SELECT o_custkey, CAST(o_orderkey % 40 AS INTEGER) AS a, CAST(o_orderkey % 40 + o_orderkey % 13 AS INTEGER) AS b, 'orders:' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS q, o_orderkey AS k FROM orders WHERE o_custkey <= 300) s ON p.o_custkey = s.o_custkey AND a <= line AND line <= b GROUP BY 1, 2")
 def span_containment(spark, d):
-    o = wh.table(spark, d, "orders").where("o_custkey <= 300").withColumn("path", F.col("o_custkey").cast("string"))
+    return _contained(wh.table(spark, d, "orders").where("o_custkey <= 300"))
+
+
+@query("span_containment_all", SQL["span_containment"].replace(" WHERE o_custkey <= 300", ""))
+def span_containment_all(spark, d):
+    return _contained(wh.table(spark, d, "orders"))
+
+
+def _contained(orders: DataFrame) -> DataFrame:
+    o = orders.withColumn("path", F.col("o_custkey").cast("string"))
     points = o.select("path", (F.col("o_orderkey") % 50).cast("int").alias("line")).distinct()
     start = (F.col("o_orderkey") % 40).cast("int")
     spans = o.select("path", F.concat(F.lit("orders:"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0")).alias("qualified_name"), start.alias("line_start"), (start + F.col("o_orderkey") % 13).cast("int").alias("line_end"))
