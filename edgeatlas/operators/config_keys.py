@@ -16,11 +16,11 @@ def like_pattern(pattern: str) -> str:
     return like if "%" in like else f"%{like}%"
 
 
-def find(keys: DataFrame, pattern: str, limit: int = 25) -> DataFrame:
-    """key_norm, definitions, reads, n_definitions, n_reads. ``keys`` has key_norm, origin, repo, path, line."""
+def find(keys: DataFrame, pattern: str, limit: int | None = 25) -> DataFrame:
+    """key_norm, definitions, reads, n_definitions, n_reads; the first ``limit`` keys, or all without one. ``keys`` has key_norm, origin, repo, path, line."""
     found = keys.where(F.like("key_norm", F.lit(like_pattern(pattern)), F.lit("\\")))
     row = F.struct("repo", "path", "line", "origin")
     read = F.col("origin") == "code-read"
     of = lambda c: F.slice(F.sort_array(F.collect_list(F.when(c, row))), 1, SHOWN)
     g = found.groupBy("key_norm").agg(of(~read).alias("definitions"), of(read).alias("reads"), F.count_if(~read).alias("n_definitions"), F.count_if(read).alias("n_reads"))
-    return g.orderBy("key_norm").limit(limit)
+    return g if limit is None else g.orderBy("key_norm").limit(limit)

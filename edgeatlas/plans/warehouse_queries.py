@@ -197,14 +197,14 @@ def _keys(spark, d) -> DataFrame:
 
 @query("config_key_group", f"WITH {_KEYS} SELECT key_norm, COUNT(*) FILTER (WHERE origin <> 'code-read') AS n_definitions, COUNT(*) FILTER (WHERE origin = 'code-read') AS n_reads, (list(repo || ':' || path || ':' || line ORDER BY repo, path, line) FILTER (WHERE origin = 'code-read'))[1] AS first_read FROM keys GROUP BY key_norm")
 def config_key_group(spark, d):
-    g = config_keys.find(_keys(spark, d), "*", 200)
+    g = config_keys.find(_keys(spark, d), "*", None)
     first = F.element_at("reads", 1)
     return g.select("key_norm", "n_definitions", "n_reads", F.concat_ws(":", first["repo"], first["path"], first["line"].cast("string")).alias("first_read"))
 
 
 @query("config_key_like", f"WITH {_KEYS} SELECT key_norm, COUNT(*) FILTER (WHERE origin <> 'code-read') AS n_definitions, COUNT(*) FILTER (WHERE origin = 'code-read') AS n_reads FROM keys WHERE key_norm LIKE 'c%:k' GROUP BY key_norm")
 def config_key_like(spark, d):
-    return config_keys.find(_keys(spark, d), "C*__K").select("key_norm", "n_definitions", "n_reads")
+    return config_keys.find(_keys(spark, d), "C*__K", None).select("key_norm", "n_definitions", "n_reads")
 
 
 def _log(spark, d) -> DataFrame:
