@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from edgeatlas.llm.session import release
 from edgeatlas.llm.words import mix
 
 _SALT = np.uint64(0xA0761D6478BD642F)
@@ -65,6 +66,10 @@ class Sketch:
 
     def total(self, spark: SparkSession, parts: DataFrame, pack: Callable[[np.ndarray], np.ndarray], bits: int):
         """Sum ``parts``; ``pack`` turns a shard's counts (uint8, at most 255) into bytes of ``bits`` bits a cell. A broadcast of fixed size."""
+        return self.totals(spark, parts, pack, bits)[0]
+
+    def totals(self, spark: SparkSession, parts: DataFrame, pack: Callable[[np.ndarray], np.ndarray], bits: int):
+        """``total``, and the sum of the first row's cells that reach two: about how many entries share a cell."""
         size = 1 << self.shard_bits
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,14 +80,17 @@ class Sketch:
                     u, n = np.unique(decode(blob.as_py()), return_counts=True)
                     have[u] = np.minimum(have[u] + n, 255)
             for s, have in sums.items():
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([s], pa.int32()), "cells": pa.array([pack(have).tobytes()], pa.binary())})
+                many = int(have[have > 1].sum(dtype=np.int64)) if s < self.shards else 0
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([s], pa.int32()), "cells": pa.array([pack(have).tobytes()], pa.binary()), "many": pa.array([many], pa.int64())})
+            release()
 
         width = size * bits // 8
-        out = bytearray(self.rows * self.shards * width)
+        out, many = bytearray(self.rows * self.shards * width), 0
         # a task has about one shard, so no more than that reaches the driver at once
-        for r in parts.repartition(self.rows * self.shards, "shard").mapInArrow(run, "shard int, cells binary").toLocalIterator():
+        for r in parts.repartition(self.rows * self.shards, "shard").mapInArrow(run, "shard int, cells binary, many long").toLocalIterator():
             out[r[0] * width : (r[0] + 1) * width] = r[1]
-        return spark.sparkContext.broadcast(out)
+            many += r[2]
+        return spark.sparkContext.broadcast(out), many
 
     def bit(self, table: np.ndarray, h: np.ndarray) -> np.ndarray:
         """For one bit a cell: whether all of a hash's cells have it."""

@@ -2,7 +2,9 @@
 
 A word is a maximal run of bytes other than space and 0x09-0x0D (the UTF-8 bytes of other characters never
 collide with these). Hashes are 64-bit: a random value per byte, summed with powers of an odd base modulo 2**64 through
-one prefix sum, then mixed. Windows hash the same way over the word hashes.
+one prefix sum, then mixed. Windows hash the same way over the word hashes. A second family, with values and bases of its own,
+makes 128 bits where a hash has to stand for the words themselves. Temporary arrays take some 60 bytes per byte of the block at
+hand, which is ``BLOCK`` bytes or the longest single text.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; bounds the temporary arrays whatever the batch holds.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -22,8 +24,9 @@ LOWER[65:91] += 32
 #: Bytes of letters and digits; whatever is not ASCII counts as a letter.
 ALNUM = np.zeros(256, bool)
 ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-_TABLE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE, _WINDOW, _SECOND = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xDA942042E4DD58B5
+#: Both families of hashes: byte values, base of words, base of windows.
+_TABLES = [np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for seed in (20240607, 20250911)]
+_BASES = ((0x9E3779B97F4A7C15, 0xD1342543DE82EF95), (0xC2B2AE3D27D4EB4F, 0xDA942042E4DD58B5))
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -94,15 +97,15 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def hashes(self) -> np.ndarray:
-        power, inverse = powers(_BASE, len(self.data) + 1)
+    def hashes(self, family: int = 0) -> np.ndarray:
+        power, inverse = powers(_BASES[family][0], len(self.data) + 1)
         sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_TABLE[self.data] * power[: len(self.data)], out=sums[1:])
+        np.cumsum(_TABLES[family][self.data] * power[: len(self.data)], out=sums[1:])
         return mix((sums[self.end] - sums[self.start]) * inverse[self.start] + (self.end - self.start).astype(np.uint64))
 
-    def windows(self, hashes: np.ndarray, k: int, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, hashes: np.ndarray, k: int, family: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Start words (indices) of every window of k words of one document, and the windows' hashes."""
-        base = _SECOND if second else _WINDOW
+        base = _BASES[family][1]
         n = len(hashes)
         left = np.repeat(self.first[1:], self.counts()) - np.arange(n)
         at = np.flatnonzero(left >= k)
