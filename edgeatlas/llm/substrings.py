@@ -2,13 +2,13 @@
 
 Pass 1 sketches: every chunk of windows writes its cells (sorted, delta-coded, a cell met twice written twice) by shard; the
 shards are summed where they meet and become one bit per cell, "two or more". Pass 2 exactly groups only windows all of whose cells
-have that bit: a sketch only overestimates, so no repeated window is lost. A window stands as two independent 64-bit hashes there: of
-10**13 different windows two fall together with a probability of about 10**-13. A window repeated within a chunk is settled there
+have that bit: a sketch only overestimates, so no repeated window is lost. A window stands as a 64-bit and an independent 32-bit hash there:
+that any two of 10**13 different windows fall together has a probability under 10**-3. A window repeated within a chunk is settled there
 and represented by one row, so a passage in every document costs a row per chunk. Windows are dealt to as many buckets as the
 sketch's counts call for. Pass 3 removes the covered words; only texts whose document's bit is set in a filter of fixed size
 are shuffled to meet their places, the others are finished where they are read.
 
-The sketch has 2 rows of 2**28 cells, 64 MB of bits, whatever the corpus. Beyond some 10**9 windows it lets more windows through
+The sketch has 2 rows of 2**29 cells, 128 MB of bits, whatever the corpus. Beyond some 10**9 windows it lets more windows through
 (at worst all, which is plain exact grouping); results never depend on it.
 """
 
@@ -28,7 +28,7 @@ from edgeatlas.llm.sketch import Sketch, at_least, decode, encode
 from edgeatlas.llm.words import Words, blocks, covered, mix, raw
 
 WINDOW = 35
-SKETCH = Sketch(rows=2, cell_bits=28)
+SKETCH = Sketch(rows=2, cell_bits=29, shard_bits=23)
 #: Documents with repeated windows: one row of 2**27 bits, 16 MB.
 MARKED = Sketch(rows=1, cell_bits=27, times=1)
 #: Windows that one chunk sketches (more make its cells denser and their differences shorter), windows let through that one
@@ -46,7 +46,7 @@ def window_hashes(column: pa.Array, k: int, both: bool = False) -> Iterator[tupl
         w = Words(d, o)
         at, h = w.windows(w.hashes(), k)
         doc = w.doc_of(at)
-        second = (w.windows(w.hashes(1), k, 1)[1],) if both else ()
+        second = ((w.windows(w.hashes(1), k, 1)[1] >> np.uint64(32)).astype(np.uint32),) if both else ()
         yield i + doc, at - w.first[doc], h, *second
 
 
@@ -202,9 +202,9 @@ def _counted(h: np.ndarray, h2: np.ndarray, places: Places, once: np.ndarray, st
 def _uncounted(blob: bytes) -> tuple[np.ndarray, ...]:
     """(hash, second hash, key, key2, start) of ``_counted``'s windows; ``REPEATED`` in place of a start where there is none."""
     n = int(np.frombuffer(blob, np.int64, 1)[0])
-    h, h2 = np.frombuffer(blob, np.uint64, n, 8), np.frombuffer(blob, np.uint64, n, 8 + 8 * n)
+    h, h2 = np.frombuffer(blob, np.uint64, n, 8), np.frombuffer(blob, np.uint32, n, 8 + 8 * n)
     key, key2, at = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, REPEATED, np.int64)
-    single = _unpacked(blob[8 + 16 * n :])
+    single = _unpacked(blob[8 + 12 * n :])
     m = len(single[0])
     key[:m], key2[:m], at[:m] = single
     return h, h2, key, key2, at
