@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgeatlas.llm.session import cut
+from edgeatlas.llm.session import cut, free
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -55,32 +55,53 @@ def copies(keys: list[Column], rate: Column, seed: int = SEED) -> Column:
     return (whole + F.when(draw < rate - whole, 1).otherwise(0)).cast("int")
 
 
-def mix_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **kw) -> DataFrame:
-    """Every row with size, source_size, target and n_copies in a struct column ``__mix``.
+def mix_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", name: str = "__mix", **kw) -> DataFrame:
+    """Every row with size, source_size, target and n_copies in a struct column ``name``.
 
     Null texts have size 0; a null source is a source; rows with one doc_id share their draw; a source without words gets
-    rate 0; an empty table gives an empty result. Columns of any other name pass through untouched.
+    rate 0; an empty table gives an empty result. Columns of any other name pass through untouched. The sources' table is
+    worked on in one task: it has a row per source, some 100 bytes each.
     """
     seed = kw.pop("seed", SEED)
-    sized = docs.withColumn("__size", size_of(F.col(text)))
-    per = source_targets(sized.select(F.col(source).alias("source"), F.col("__size").alias("size")), **kw).withColumnsRenamed({"source": "__source", "source_size": "__source_size", "target": "__target"})
-    per = cut(per.drop("weight"), "sources")
+    size, own, total, goal = free(docs, "__size", "__source", "__source_size", "__target")
+    sized = docs.withColumn(size, size_of(F.col(text)))
+    per = source_targets(sized.select(F.col(source).alias("source"), F.col(size).alias("size")), **kw)
+    per = cut(per.select(F.col("source").alias(own), F.col("source_size").alias(total), F.col("target").alias(goal)), "sources")
     # one row per source; with very many sources the join is dealt by source instead, where adaptive execution splits hot ones
     per = F.broadcast(per) if per.count() <= BROADCAST_ROWS else per
-    out = sized.join(per, sized[source].eqNullSafe(F.col("__source")), "left")
-    rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(0.0)
+    out = sized.join(per, sized[source].eqNullSafe(F.col(own)), "left")
+    rate = F.when(F.col(total) > 0, F.col(goal) / F.col(total)).otherwise(0.0)
     n = copies([F.col(doc_id)], rate, seed)
-    mixed = F.struct(F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), n.alias("n_copies"))
-    return out.select(*[docs[c] for c in docs.columns], mixed.alias("__mix"))
+    mixed = F.struct(F.col(size).alias("size"), F.col(total).alias("source_size"), F.col(goal).alias("target"), n.alias("n_copies"))
+    return out.select(*[docs[c] for c in docs.columns], mixed.alias(name))
 
 
 def mix_sources(docs: DataFrame, **kw) -> DataFrame:
     """The mixture itself: the input's columns, each document as often as it is taken."""
-    plan = mix_plan(docs, **kw)
-    return plan.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.greatest(F.col("__mix.n_copies"), F.lit(1))))).where("__mix.n_copies > 0").select(*docs.columns)
+    mix, copy = free(docs, "__mix", "__copy")
+    plan = mix_plan(docs, name=mix, **kw).where(F.col(mix)["n_copies"] > 0)
+    return plan.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(mix)["n_copies"]))).select(*docs.columns)
 
 
 def op2_source_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     m = F.col("__mix")
     return mix_plan(docs).select("doc_id", m.size.alias("size"), m.source_size.alias("source_size"), m.target.alias("target"), (m.size * m.n_copies).cast("long").alias("taken"), m.n_copies.alias("n_copies"))
+
+
+def mixing_targets(spark, sf_dir: str) -> DataFrame:
+    """The part of ``op2_source_mixing`` that SQL can say: sizes, and each source's target."""
+    return op2_source_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+#: The water level lies above the highest ratio of ceiling to weight at which all sources together still hold no more than the share.
+TARGETS_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(SUM(size) AS BIGINT) AS source_size, CAST([5, 2, 1][CAST((ROW_NUMBER() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS DOUBLE) AS w FROM d GROUP BY source),
+c AS (SELECT l.source_size * 2.0 / l.w AS level, SUM(LEAST(r.source_size * 2.0, r.w * (l.source_size * 2.0 / l.w))) AS filled FROM s l, s r GROUP BY l.source, l.source_size, l.w),
+t AS (SELECT 1.5 * SUM(source_size) AS total FROM s),
+lo AS (SELECT COALESCE(MAX(level), 0) AS below FROM c, t WHERE filled <= total),
+water AS (SELECT (total - (SELECT COALESCE(SUM(source_size * 2.0), 0) FROM s, lo WHERE source_size * 2.0 / w <= below)) / NULLIF((SELECT SUM(w) FROM s, lo WHERE source_size * 2.0 / w > below), 0) AS level FROM t)
+SELECT doc_id, size, source_size, round(CASE WHEN source_size * 2.0 / w <= below THEN source_size * 2.0 ELSE LEAST(source_size * 2.0, water.level * w) END, 3) AS target
+FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source, lo, water
+"""

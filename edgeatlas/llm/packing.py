@@ -19,14 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgeatlas.llm.session import cut, small_batches
+from edgeatlas.llm.session import cut, release, small_batches
 
 CAPACITY, END = 1024, 2
 TOKENIZER = "byte_bpe_50k.json"
 #: Fixed value: how byte-level pre-tokenizers split a text.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PROBES = ("it's we'll  a b\n\n c \t d12 3.5%", "Éai les öffnete ñ ç \u00a0 \u200b 你好 🙂", "x" * 300, "<|endoftext|> <|endoftext|>", "", "  \n ")
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Pieces of one length that one task ranks, about; rows of a table that is broadcast, at most.
+SALTED, BROADCAST_ROWS = 1 << 20, 1 << 17
 
 
 # ---- tokens
@@ -101,18 +102,21 @@ def tokenize(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(path or tokenizer_path())
-        types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         for batch in batches:
             rows: list[tuple] = []
-            for d, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for d, text in enumerate(batch.column(1)):
                 ids = enc.encode(text.as_py() or "")
                 ids.append(end)
                 view = memoryview(ids).cast("B")
                 rows += [(d, k, s, n, zlib.crc32(view[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut_points(len(ids), capacity))]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                of, *columns = (pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), *columns], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        del enc
+        release()
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
 # ---- the plan
@@ -227,35 +231,39 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, i
 
 # ---- ranks and slots, distributed
 
-def rank_in_class(pieces: DataFrame, salts: int = 64) -> DataFrame:
-    """``rank``: 0.. within each length, in parts by a hash of the document."""
-    p = pieces.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+def _met(rows: DataFrame, table: DataFrame, n: int, on) -> DataFrame:
+    """``rows`` with the ``n`` rows of ``table``: broadcast up to a size, dealt by the key beyond it."""
+    return rows.join(F.broadcast(table) if n <= BROADCAST_ROWS else table, on)
+
+
+def rank_in_class(pieces: DataFrame, hist: dict[int, int], salted: int = SALTED) -> DataFrame:
+    """``rank``: 0.. within each length, in parts by a hash of the document; a length has parts in proportion to its pieces."""
+    spark = pieces.sparkSession
+    sizes = spark.createDataFrame([(x, 16 + n // salted) for x, n in hist.items()], "__len long, __salts long")  # at most ``capacity`` rows
+    p = pieces.join(F.broadcast(sizes), F.col("length") == F.col("__len")).withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("__salts"))).drop("__len", "__salts")
     part = p.groupBy("length", "__salt").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
-    part = part.withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0)))  # at most capacity * salts rows
+    part = part.withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0)))
     order = Window.partitionBy("length", "__salt").orderBy("doc_id", "piece", "ids_crc32")
     p = p.withColumn("__in", F.row_number().over(order) - 1)
-    return p.join(F.broadcast(part.select("length", "__salt", "__base")), ["length", "__salt"]).withColumn("rank", F.col("__base") + F.col("__in")).drop("__salt", "__base", "__in")
+    parts = sum(16 + n // salted for n in hist.values())
+    return _met(p, part.select("length", "__salt", "__base"), parts, ["length", "__salt"]).withColumn("rank", F.col("__base") + F.col("__in")).drop("__salt", "__base", "__in")
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece of every document.
 
     Nulls and empty texts are one-token documents; repeated rows are packed each; an empty table gives an empty result.
-    Only doc_id and text are read. The histogram that reaches the driver has at most ``capacity`` rows.
+    Only doc_id, of any type, and text are read. The histogram that reaches the driver has at most ``capacity`` rows.
     """
     spark = docs.sparkSession
     pieces = cut(tokenize(docs, path, capacity, end), "pieces")
     hist = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
     rows = slots(plan(hist, capacity))
-    where: dict[int, list[tuple[int, int, int, int]]] = {}
-    for x, lo, hi, seq, at in rows:
-        where.setdefault(x, []).append((lo, hi, seq, at))
     # at most a few slots per pattern, and patterns grow with the capacity's classes, not with the documents
-    table = spark.createDataFrame([(x, lo, hi, seq, at) for x, s in where.items() for lo, hi, seq, at in s], "__len long, __lo long, __hi long, __seq long, __at long")
-    ranked = rank_in_class(pieces)
+    table = spark.createDataFrame(rows, "__len long, __lo long, __hi long, __seq long, __at long")
     per = table.groupBy("__len").agg(F.sort_array(F.collect_list(F.struct("__lo", "__hi", "__seq", "__at"))).alias("__slots"))
-    joined = ranked.join(F.broadcast(per), ranked.length == per["__len"])
+    joined = _met(rank_in_class(pieces, hist), per, len(rows), F.col("length") == F.col("__len"))
     slot = F.element_at(F.filter("__slots", lambda s: (s["__lo"] <= F.col("rank")) & (F.col("rank") < s["__hi"])), 1)
     return joined.withColumn("__s", slot).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("__s.__seq") + F.col("rank") - F.col("__s.__lo")).alias("sequence_id"), F.col("__s.__at").alias("offset"))
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeatlas.llm.session import small_batches
+from edgeatlas.llm.session import free, release, small_batches
 from edgeatlas.llm.words import Words, blocks, covered, mix, raw
 
 REPEAT_WINDOW = 5
@@ -78,6 +78,7 @@ def _run(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
 def text_stats(column: pa.Array) -> pa.Array:
     data, off = raw(column)
     parts = [_run(d, o) for _, _, d, o in blocks(data, off)]
+    release()
     names = COUNTS + EXTRA
     return pa.StructArray.from_arrays([pa.array(np.concatenate([p[k] for p in parts]) if parts else np.zeros(0), pa.int64()) for k in names], names=list(names))
 
@@ -182,6 +183,7 @@ def rejected(s: Column, rules: list[Rule]) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[Rule]:
     """Learn from at most ``rows`` labelled documents, chosen by a hash of doc_id; null labels are left out."""
+    small_batches(docs.sparkSession)
     some = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     got = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("quality", stats_of(F.col("text")).alias("s")).select("quality", "s.*").orderBy(*COUNTS, *EXTRA).collect()
     if not got:
@@ -191,21 +193,38 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[Rul
     return learn_rules(x, np.array([r["quality"] == 0 for r in got]))
 
 
-def assess(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
-    """The input's columns, and ``__quality``: the statistics, base_failed, rule (0: none) and kept.
+def assess(docs: DataFrame, rules: list[Rule], text: str = "text", name: str = "__quality") -> DataFrame:
+    """The input's columns, and a struct ``name``: the statistics, base_failed, rule (0: none) and kept.
 
     Nulls and empty texts have no words and fail the base; repeated rows get equal verdicts; an empty table stays empty.
     """
     small_batches(docs.sparkSession)
-    d = docs.withColumn("__s", stats_of(F.col(text)))
-    s = F.col("__s")
+    stats = free(docs, "__s")[0]
+    d = docs.withColumn(stats, stats_of(F.col(text)))
+    s = F.col(stats)
     failed, rule = base_failed(s), rejected(s, rules)
     q = F.struct(*[s[c].alias(c) for c in COUNTS], failed.alias("base_failed"), rule.alias("rule"), (~failed & (rule == 0)).alias("kept"))
-    return d.withColumn("__quality", q).select(*docs.columns, "__quality")
+    return d.select(*docs.columns, q.alias(name))
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    small_batches(spark)
     rules = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return assess(docs.select("doc_id", "text"), rules).select("doc_id", *[F.col(f"__quality.{c}").alias(c) for c in (*COUNTS, "base_failed", "kept", "rule")])
+
+
+def quality_base(spark, sf_dir: str) -> DataFrame:
+    """The part of ``op8_quality_rules`` that SQL can say."""
+    return op8_quality_rules(spark, sf_dir).select("doc_id", *COUNTS, "base_failed")
+
+
+BASE_SQL = r"""
+WITH d AS (SELECT doc_id, COALESCE(text, '') AS t, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+lines AS (SELECT doc_id, COUNT(*) - COUNT(DISTINCT l) AS n FROM (SELECT doc_id, UNNEST(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+win AS (SELECT doc_id, i, md5(array_to_string(ws[i:i+4], ' ')) AS h FROM d, LATERAL (SELECT UNNEST(range(1, len(ws) - 3)) AS i)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, COUNT(*) OVER (PARTITION BY doc_id, h) AS n FROM win) WHERE n > 1),
+cover AS (SELECT doc_id, COUNT(DISTINCT i + o) AS n FROM rep, (SELECT UNNEST(range(0, 5)) AS o) GROUP BY doc_id),
+c AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(COALESCE(lines.n, 0) AS BIGINT) AS n_dup_lines, CAST(COALESCE(cover.n, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN cover USING (doc_id))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c
+"""

@@ -15,6 +15,8 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "mixing_targets": mixing.mixing_targets,
+    "quality_base": quality.quality_base,
 }
 
 SQL: dict[str, str] = {
@@ -22,4 +24,6 @@ SQL: dict[str, str] = {
     "op4_substring_dedup": substrings.SQL,
     "op5_embedding_dedup": vectors.SQL,
     "op9_ngram_jaccard_join": jaccard.SQL,
+    "mixing_targets": mixing.TARGETS_SQL,
+    "quality_base": quality.BASE_SQL,
 }

@@ -16,14 +16,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeatlas.llm.session import small_batches
+from edgeatlas.llm.session import free, release, small_batches
 from edgeatlas.llm.words import ALNUM, Words, blocks, raw
 
 #: Labelled rows that the field is fitted on, at most; the first by a hash of doc_id.
 SAMPLE_ROWS = 6000
-#: A vocabulary word: toxic documents with it at least, smoothed share of toxic among documents with it, and words at most.
-LEAST_DOCS, LEAST_SHARE, MOST_WORDS = 3, 0.5, 2048
+#: A vocabulary word: toxic documents with it at least, smoothed share of toxic among documents with it.
+LEAST_DOCS, LEAST_SHARE = 3, 0.5
 SEGMENT, STEPS, L2 = 48, 60, 0.05
+#: Powers of the gap matrix that are kept; a longer gap's is squared together from them.
 POWERS = 512
 FOLDS = 5
 
@@ -47,6 +48,14 @@ class Field:
             out.append(m / m.max())
         self.gap = np.array(out)
 
+    def power(self, n: int) -> np.ndarray:
+        """The matrix of a gap of n tokens, up to a factor."""
+        if n <= POWERS:
+            return self.gap[n]
+        half = self.power(n // 2)
+        m = half @ half @ self.gap[n % 2]
+        return m / m.max()
+
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[Words, np.ndarray]:
     w = Words(data, off, lower=True, inner=ALNUM)
@@ -62,16 +71,16 @@ def marginals(field: Field, at: np.ndarray, weight: np.ndarray, n: int) -> np.nd
     last = None
     for i in range(k):
         if last is None:
-            a = first if at[i] == 0 else (first * np.array([1.0, np.exp(field.other)])) @ field.gap[min(at[i] - 1, POWERS)] @ t
+            a = first if at[i] == 0 else (first * np.array([1.0, np.exp(field.other)])) @ field.power(at[i] - 1) @ t
         else:
-            a = fwd[i - 1] @ field.gap[min(at[i] - last - 1, POWERS)] @ t
+            a = fwd[i - 1] @ field.power(at[i] - last - 1) @ t
         a = a * phi[i]
         fwd[i] = a / a.sum()
         last = at[i]
-    b = field.gap[min(n - 1 - at[-1], POWERS)] @ np.ones(2)
+    b = field.power(n - 1 - at[-1]) @ np.ones(2)
     bwd[k - 1] = b / b.sum()
     for i in range(k - 2, -1, -1):
-        b = field.gap[min(at[i + 1] - at[i] - 1, POWERS)] @ (t @ (phi[i + 1] * bwd[i + 1]))
+        b = field.power(at[i + 1] - at[i] - 1) @ (t @ (phi[i + 1] * bwd[i + 1]))
         bwd[i] = b / b.sum()
     g = fwd * bwd
     return g[:, 1] / g.sum(1)
@@ -139,8 +148,7 @@ def _vocabulary(column: pa.Array, toxic: np.ndarray) -> np.ndarray:
     # Chernoff's exponent against chance, beyond what the best of all the words would reach by luck
     surprise = n * (rate * np.log(rate / prior) + (1 - rate) * np.log((1 - rate) / (1 - prior)))
     ok = np.flatnonzero((bad >= LEAST_DOCS) & (share >= max(LEAST_SHARE, min(0.9, 3 * prior))) & (surprise > np.log(len(words)) + 2))
-    ok = ok[np.lexsort((words[ok], -bad[ok]))][:MOST_WORDS]
-    return np.sort(words[ok])
+    return words[ok]
 
 
 def _segments(column: pa.Array, toxic: np.ndarray, words: np.ndarray, seed: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -242,8 +250,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Field:
     return fit_texts([r["text"] for r in got], [r["toxic"] for r in got])
 
 
-def score(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
-    """The input's columns and ``__toxic``: score, predicted and spans (start, end in code points, marginal).
+def score(docs: DataFrame, field: Field, text: str = "text", name: str = "__toxic") -> DataFrame:
+    """The input's columns and a struct ``name``: score, predicted and spans (start, end in code points, marginal).
 
     Only the text is read. Null and empty texts score as texts without toxic words; an empty table stays empty.
     """
@@ -254,12 +262,14 @@ def score(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
         out = list(score_texts(field, column))
         z = np.array([f for f, _ in out]).reshape(-1, 4) @ field.doc
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())]))
+        release()
         spans = pa.array([[{"start": s, "end": e, "marginal": m} for s, e, m in x] for _, x in out], kind)
         return pa.StructArray.from_arrays([pa.array(1 / (1 + np.exp(-z))), spans], names=["score", "spans"])
 
-    d = docs.withColumn("__t", run.asNondeterministic()(F.col(text)))
-    s = F.col("__t.score")
-    return d.withColumn("__toxic", F.struct(s.alias("score"), (s >= 0.5).cast("int").alias("predicted"), F.col("__t.spans").alias("spans"))).select(*docs.columns, "__toxic")
+    found = free(docs, "__t")[0]
+    d = docs.withColumn(found, run.asNondeterministic()(F.col(text)))
+    s = F.col(found)["score"]
+    return d.select(*docs.columns, F.struct(s.alias("score"), (s >= 0.5).cast("int").alias("predicted"), F.col(found)["spans"].alias("spans")).alias(name))
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
