@@ -1,9 +1,11 @@
 """Embedding near-dedup by randomised-rotation binary codes.
 
-A vector is normalised and rotated by a fixed random rotation; its code is the signs, its correction factor the inner product of the
-vector with its own code. The product of a code with another vector's rotated form, divided by the factor, is an unbiased
-estimate of their cosine whose error shrinks with the factor and the dimension. A pair whose estimate plus bound stays under
-the threshold is dropped, every other pair is computed again in double precision.
+A vector is normalised and rotated by a fixed random rotation; its code is the signs, one bit a dimension, its correction factor the
+inner product of the vector with its own code. The product of a code with another vector's rotated form, divided by the factor, is an
+unbiased estimate of their cosine whose error shrinks with the factor and the dimension. Codes and factors are stored with each vector,
+beside its rotated form in a byte a dimension (whose rounding error is bounded and added to the bound). Only these are sent to the
+places where vectors meet. A pair whose estimate plus bound stays under the threshold is dropped; full vectors are fetched for those that
+have a pair left, and such pairs are computed again in double precision.
 
 No pair at or above the threshold is left out of that estimate. A vector's home is the cell of its nearest centre (a bounded sample, near copies
 of a centre left out), in a near or a far ring. It visits each cell that a partner could have as home: two bounds follow from
@@ -42,18 +44,42 @@ def rotation(dim: int, seed: int = SEED) -> np.ndarray:
 
 
 class Codes:
-    """Signs, correction factors and deviations of unit vectors (rows)."""
+    """Signs, correction factors, deviations and rotated forms of unit vectors (rows)."""
 
     def __init__(self, unit: np.ndarray, turn: np.ndarray):
-        self.turned = unit @ turn.T
-        self.dim = unit.shape[1]
-        self.signs = np.where(self.turned >= 0, 1.0, -1.0).astype(np.float32)
-        self.factor = np.abs(self.turned).sum(1) / np.sqrt(self.dim)
-        self.deviation = np.sqrt(np.maximum(0, 1 - self.factor**2) / (self.factor**2 * max(1, self.dim - 1)))
+        turned = unit @ turn.T
+        dim = unit.shape[1]
+        top = np.abs(turned).max(1) if dim else np.zeros(len(unit))
+        self._set(np.packbits(turned >= 0, axis=1), np.abs(turned).sum(1) / np.sqrt(dim), np.rint(turned * (127 / np.where(top > 0, top, 1))[:, None]).astype(np.int8), top / 127, dim)
+
+    def _set(self, bits, factor, bytes_, scale, dim) -> Codes:
+        self.bits, self.factor, self.bytes, self.scale, self.dim = bits, factor, bytes_, scale, dim
+        self.deviation = np.sqrt(np.maximum(0, 1 - factor**2) / (factor**2 * max(1, dim - 1)))
+        return self
+
+    @classmethod
+    def stored(cls, bits: np.ndarray, factor: np.ndarray, bytes_: np.ndarray, scale: np.ndarray) -> Codes:
+        return cls.__new__(cls)._set(bits, factor, bytes_, scale, bytes_.shape[1])
+
+    def signs(self) -> np.ndarray:
+        return np.unpackbits(self.bits, axis=1, count=self.dim).astype(np.float32) * 2 - 1
+
+    def turned(self) -> np.ndarray:
+        return self.bytes.astype(np.float32) * self.scale.astype(np.float32)[:, None]
+
+    def rows(self, i, j=None) -> Codes:
+        at = slice(i, j) if j is not None else i
+        return Codes.stored(self.bits[at], self.factor[at], self.bytes[at], self.scale[at])
 
     def estimate(self, other: Codes) -> np.ndarray:
         """Estimated cosines of this side's codes with the other side's vectors."""
-        return (self.signs @ other.turned.astype(np.float32).T) / (np.sqrt(self.dim) * self.factor)[:, None]
+        return (self.signs() @ other.turned().T) / (np.sqrt(self.dim) * self.factor)[:, None]
+
+    def may_link(self, other: Codes, threshold: float, deviations: float) -> np.ndarray:
+        """Pairs whose estimate, with its deviation and the other side's rounding, reaches the threshold."""
+        rounding = np.sqrt(self.dim) * float(other.scale.max(initial=0)) / 2
+        least = threshold - 1e-5 - deviations * self.deviation - rounding / self.factor
+        return self.estimate(other) >= least.astype(np.float32)[:, None]
 
 
 def linked_parts(a: np.ndarray, b: np.ndarray, turn: np.ndarray, threshold: float = THRESHOLD, deviations: float = DEVIATIONS) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -61,9 +87,7 @@ def linked_parts(a: np.ndarray, b: np.ndarray, turn: np.ndarray, threshold: floa
     cb = Codes(b, turn)
     for start in range(0, len(a), ROWS):
         part = a[start : start + ROWS]
-        ca = Codes(part, turn)
-        least = (threshold - 1e-5 - deviations * ca.deviation).astype(np.float32)
-        maybe = ca.estimate(cb) >= least[:, None]
+        maybe = Codes(part, turn).may_link(cb, threshold, deviations)
         n = int(np.count_nonzero(maybe))
         if n > maybe.size // 16:
             x, y = np.nonzero(maybe & (part @ b.T >= threshold))
@@ -178,24 +202,45 @@ def _unit(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per vector.
 
-    Null and zero vectors, vectors with null or non-finite parts or another length than most have no links; equal vectors
-    link with each other; repeated ids count as separate rows; an empty table gives an empty result; other columns are ignored.
+    Null and zero vectors and vectors with null or non-finite parts have no links; vectors of different lengths have no cosine, so
+    each length is worked on by itself; equal vectors link with each other; repeated ids count as separate rows; an empty table
+    gives an empty result; other columns are ignored.
     """
     spark = vectors.sparkSession
     v = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("embedding"))
-    lengths = v.where("embedding is not null").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dim = lengths[0] if lengths else 0
-    good = F.col("embedding").isNotNull() & (F.size("embedding") == dim) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    v = v.withColumn("node", F.when(good, F.xxhash64(F.to_json("embedding"))))
-    nodes = v.where(good).groupBy("node").agg(F.first("embedding").alias("embedding"), F.count("*").alias("copies"), F.min("vec_id").alias("least"))
-    nodes = cut(nodes, "nodes")
+    good = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
+    v = v.withColumn("name", F.when(good, F.md5(F.to_json("embedding"))))  # 128 bits stand for the vector
+    groups = v.where("name is not null").groupBy("name").agg(F.first("embedding").alias("embedding"), F.count("*").alias("copies"), F.min("vec_id").alias("least"))
+    nodes = cut(groups.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbered once, when written
+    found, roots = None, None
+    for (dim,) in nodes.select(F.size("embedding").alias("d")).distinct().orderBy("d").collect():  # the lengths that occur
+        links = _links(nodes.where(F.size("embedding") == dim).select("node", "embedding", "copies"), dim, threshold)
+        found = links if found is None else found.unionByName(links)
+    if found is None:
+        found = spark.createDataFrame([], "node long, links long, to long")
+    else:
+        roots = components(found.select(F.col("node").alias("a"), F.col("to").alias("b"))).withColumnRenamed("node", "c_node")
+    named = nodes.select("name", "node", "copies", "least").join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
+    named = named.join(roots, F.col("node") == F.col("c_node"), "left") if roots is not None else named.withColumn("component", F.lit(None).cast("long"))
+    named = named.select("name", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "least", F.coalesce("component", "node").alias("root"))
+    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    per_node = named.join(ids, "root").select(F.col("name").alias("p_name"), "n_links", "component_id")
+    out = v.select("vec_id", "name").join(per_node, F.col("name") == F.col("p_name"), "left")
+    component = F.coalesce("component_id", "vec_id")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+
+
+def _links(nodes: DataFrame, dim: int, threshold: float) -> DataFrame:
+    """(node, links, to): of distinct vectors of one length, how many rows each links with, and a forest of the links."""
+    spark = nodes.sparkSession
     n = nodes.count()
     k = int(min(MOST_CENTRES, max(LEAST_CENTRES, 2 * np.sqrt(n))))
-    sample = np.array([r[0] for r in nodes.orderBy(F.xxhash64("node", F.lit(SEED)), "node").select("embedding").limit(k).collect()], float).reshape(-1, max(dim, 1))
+    sample = np.array([r[0] for r in nodes.orderBy(F.xxhash64("node", F.lit(SEED)), "node").select("embedding").limit(k).collect()], float).reshape(-1, dim)
     sample /= np.linalg.norm(sample, axis=1, keepdims=True) if len(sample) else 1
     centres = spark.sparkContext.broadcast(spread(sample, threshold))
-    turn = rotation(max(dim, 1))
+    turn = rotation(dim)
     kind = nodes.schema["embedding"].dataType.simpleString()
+    code_kind = "bits binary, factor double, bytes binary, scale double"
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = centres.value.astype(np.float32)
@@ -205,15 +250,19 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
             for i in range(0, len(unit), ROWS):
                 p = unit[i : i + ROWS].astype(np.float32) @ c.T
                 home[i : i + ROWS], cosine[i : i + ROWS] = p.argmax(1), p.max(1)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(home), pa.array((cosine >= RING).astype(np.int32)), pa.array(cosine)], names=["node", "embedding", "copies", "home", "ring", "cosine"])
+            code = Codes(unit, turn)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k) for k in range(3)), pa.array(home), pa.array((cosine >= RING).astype(np.int32)), pa.array(cosine), _cells(code.bits), pa.array(code.factor), _cells(code.bytes), pa.array(code.scale)],
+                names=["node", "embedding", "copies", "home", "ring", "cosine", "bits", "factor", "bytes", "scale"],
+            )
 
-    placed = cut(nodes.select("node", "embedding", "copies").mapInArrow(assign, f"node long, embedding {kind}, copies long, home int, ring int, cosine double"), "placed")
+    placed = cut(nodes.mapInArrow(assign, f"node long, embedding {kind}, copies long, home int, ring int, cosine double, {code_kind}"), "placed")
     stats = placed.groupBy("home", "ring").agg(F.count("*"), F.min("cosine"), F.max("cosine")).collect()  # two rows a centre
     cells = spark.sparkContext.broadcast(Cells(centres.value, [tuple(r) for r in stats], threshold, BLOCK))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, home, ring = (batch.column(k).to_numpy() for k in (0, 3, 4))
+            node, home, ring = (batch.column(k).to_numpy() for k in (0, 2, 3))
             unit, _ = _unit(batch.column(1), dim)
             block = cells.value.block_of(home, ring, node)
             for i in range(0, len(unit), ROWS):
@@ -226,9 +275,29 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
                     mine = own[at]
                     ends = (np.minimum(mine, other), np.maximum(mine, other), mine)
                     rows = pa.array(at + i)
-                    yield pa.RecordBatch.from_arrays([*(pa.array(e.astype(np.int32)) for e in ends), *(batch.column(c).take(rows) for c in (0, 2, 1))], names=["i", "j", "block", "node", "copies", "embedding"])
+                    yield pa.RecordBatch.from_arrays([*(pa.array(e.astype(np.int32)) for e in ends), *(batch.column(c).take(rows) for c in (0, 4, 5, 6, 7))], names=["i", "j", "block", "node", "bits", "factor", "bytes", "scale"])
+
+    visits = placed.select("node", "embedding", "home", "ring", "bits", "factor", "bytes", "scale").mapInArrow(visit, f"i int, j int, block int, node long, {code_kind}")
 
-    jobs = placed.mapInArrow(visit, f"i int, j int, block int, node long, copies long, embedding {kind}")
+    def screen(key: tuple, table: pa.Table) -> pa.Table:
+        """Who has a pair left by the estimates."""
+        i, j = (k.as_py() for k in key)
+        block, node, factor, scale = (table.column(k).to_numpy() for k in ("block", "node", "factor", "scale"))
+        code = Codes.stored(_matrix(table.column("bits"), np.uint8), factor, _matrix(table.column("bytes"), np.int8), scale)
+        a, b, left = np.flatnonzero(block == i), np.flatnonzero(block == j), np.zeros(len(node), bool)
+        other = code.rows(b)
+        for s in range(0, len(a), ROWS):
+            some = a[s : s + ROWS]
+            maybe = code.rows(some).may_link(other, threshold, DEVIATIONS)
+            if i == j:
+                maybe[np.arange(len(some)), np.arange(s, s + len(some))] = False
+            left[some] |= maybe.any(1)
+            left[b] |= maybe.any(0)
+        at = np.flatnonzero(left)
+        return pa.table({"i": np.full(len(at), i, np.int32), "j": np.full(len(at), j, np.int32), "block": block[at].astype(np.int32), "node": node[at]})
+
+    left = cut(visits.groupBy("i", "j").applyInArrow(screen, "i int, j int, block int, node long"), "left")
+    jobs = left.join(placed.select("node", "copies", "embedding"), "node")
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         i, j = (k.as_py() for k in key)
@@ -245,22 +314,32 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
         at = np.flatnonzero(links)
         return pa.table({"node": node[at], "links": links[at].astype(np.int64), "to": node[label[at]]})
 
-    found = cut(jobs.groupBy("i", "j").applyInArrow(compare, "node long, links long, to long"), "links")
-    count = found.groupBy("node").agg(F.sum("links").alias("links"))
-    roots = components(found.select(F.col("node").alias("a"), F.col("to").alias("b"))).withColumnRenamed("node", "c_node")
-    named = nodes.select("node", "copies", "least").join(count, "node", "left").join(roots, F.col("node") == F.col("c_node"), "left")
-    named = named.select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "least", F.coalesce("component", "node").alias("root"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    per_node = named.join(ids, "root").select(F.col("node").alias("p_node"), "n_links", "component_id")
-    out = v.select("vec_id", "node").join(per_node, F.col("node") == F.col("p_node"), "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    return cut(jobs.groupBy("i", "j").applyInArrow(compare, "node long, links long, to long"), "links")
+
+
+def _cells(rows: np.ndarray) -> pa.Array:
+    """A binary column of a matrix of bytes."""
+    n, width = rows.shape
+    offsets = pa.array(np.arange(n + 1, dtype=np.int32) * width)
+    return pa.Array.from_buffers(pa.binary(), n, [None, offsets.buffers()[1], pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
+
+
+def _matrix(column: pa.ChunkedArray, kind) -> np.ndarray:
+    blobs = column.to_pylist()
+    return np.frombuffer(b"".join(blobs), kind).reshape(len(blobs), -1)
 
 
 def op5_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def embedding_copies(spark, sf_dir: str) -> DataFrame:
+    """``op5_embedding_dedup`` on the vectors and, of every second one, a copy scaled and bent a little: the tables hold few near copies."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    bent = F.transform("embedding", lambda x, i: x * F.when(i % 4 == 0, 1.5).when(i % 4 == 1, 0.75).otherwise(1.0))
+    return near_duplicates(e.unionByName(e.where("vec_id % 2 = 0").select((-F.col("vec_id") - 1).alias("vec_id"), bent.alias("embedding"))))
+
+
 SQL = """
 WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
 u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v WHERE list_dot_product(e, e) > 0),
@@ -271,3 +350,6 @@ n AS (SELECT x, COUNT(*) AS n FROM p GROUP BY x)
 SELECT e.vec_id, COALESCE(n.n, 0) AS n_links, COALESCE(c.c, e.vec_id) AS component_id, COALESCE(c.c, e.vec_id) = e.vec_id AS kept
 FROM embeddings e LEFT JOIN n ON n.x = e.vec_id LEFT JOIN c ON c.x = e.vec_id
 """
+
+COPIES_SQL = SQL.replace("WITH RECURSIVE v AS", """WITH RECURSIVE embeddings AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding FROM main.embeddings UNION ALL
+  SELECT -vec_id - 1, list_transform(CAST(embedding AS DOUBLE[]), lambda x, i: x * CASE (i - 1) % 4 WHEN 0 THEN 1.5 WHEN 1 THEN 0.75 ELSE 1.0 END) FROM main.embeddings WHERE vec_id % 2 = 0), v AS""")
