@@ -15,7 +15,9 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "warc_revisits": warc.warc_revisits,
     "mixing_targets": mixing.mixing_targets,
+    "embedding_copies": vectors.embedding_copies,
     "quality_base": quality.quality_base,
 }
 
@@ -24,6 +26,8 @@ SQL: dict[str, str] = {
     "op4_substring_dedup": substrings.SQL,
     "op5_embedding_dedup": vectors.SQL,
     "op9_ngram_jaccard_join": jaccard.SQL,
+    "warc_revisits": warc.REVISITS_SQL,
     "mixing_targets": mixing.TARGETS_SQL,
+    "embedding_copies": vectors.COPIES_SQL,
     "quality_base": quality.BASE_SQL,
 }

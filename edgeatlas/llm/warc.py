@@ -27,8 +27,11 @@ LEAST_BYTES = 100
 BROADCAST_GROUPS = 100_000
 #: Bytes of archive that one reading task takes, and rows' bytes that one Arrow batch holds.
 SPLIT, BATCH = 64 << 20, 4 << 20
+PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 SCHEMA = "record_id string, record_type string, target_uri string, date string, content_type string, payload_digest string, refers_to string, content_length long, http_length long, headers map<string,string>, payload binary"
 
+NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
+
 
 # ---- writing
 
@@ -156,8 +159,20 @@ def _headers(stream: _Archive) -> tuple[dict[str, str], int]:
     return found, size
 
 
-def records(raw, wanted=lambda row: True, payload: bool = True) -> Iterator[dict]:
-    """Rows of an archive. ``wanted`` sees a row before its block is read; without ``payload`` only HTTP headers of a block are."""
+def records(raw, wanted=lambda row: True, payload: bool = True, strict: bool = True) -> Iterator[dict]:
+    """Rows of an archive. ``wanted`` sees a row before its block is read; without ``payload`` only HTTP headers of a block are.
+
+    What is no record raises ValueError; unless ``strict``, an archive then ends with a row of type ``malformed`` that says why.
+    """
+    try:
+        yield from _records(raw, wanted, payload)
+    except (ValueError, zlib.error) as e:
+        if strict:
+            raise ValueError(str(e)) from e
+        yield dict.fromkeys(NAMES) | {"record_type": "malformed", "headers": [("error", str(e))]}
+
+
+def _records(raw, wanted, payload: bool) -> Iterator[dict]:
     s = _Archive(raw)
     while line := s.line():
         if not line.strip():
@@ -165,6 +180,8 @@ def records(raw, wanted=lambda row: True, payload: bool = True) -> Iterator[dict
         if not line.startswith(b"WARC/"):
             raise ValueError(f"not a WARC record: {line[:40]!r}")
         h, _ = _headers(s)
+        if not h.get("content-length", "").isdigit():
+            raise ValueError("a record without a length")
         n = int(h["content-length"])
         digest = h.get("warc-payload-digest")
         row = {"record_id": h.get("warc-record-id"), "record_type": h.get("warc-type"), "target_uri": h.get("warc-target-uri"), "date": h.get("warc-date"), "content_type": h.get("content-type"), "payload_digest": digest, "refers_to": h.get("warc-refers-to"), "content_length": n, "http_length": None, "headers": list(h.items()), "payload": None}
@@ -213,7 +230,7 @@ class _Files(D.InputPartition):
 class WarcReader(D.DataSourceReader):
     def __init__(self, options, schema):
         self.path, self.payload = options["path"], str(options.get("payload", "true")).lower() == "true"
-        self.split = int(options.get("split", SPLIT))
+        self.split, self.strict = int(options.get("split", SPLIT)), str(options.get("mode", "failfast")).lower() != "permissive"
         self.kept: list[D.Filter] = []
 
     def pushFilters(self, filters):
@@ -246,7 +263,7 @@ class WarcReader(D.DataSourceReader):
         store, _ = fs.FileSystem.from_uri(self.path)
         tests = [_test(f) for f in self.kept]
         wanted = lambda row: all(t(row) for t in tests)
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
+        names = NAMES
         kinds = dict(zip(names, [pa.string()] * 7 + [pa.int64()] * 2 + [pa.map_(pa.string(), pa.string()), pa.binary()], strict=True))
         rows, size = [], 0
 
@@ -255,7 +272,7 @@ class WarcReader(D.DataSourceReader):
 
         for name in partition.files:
             with store.open_input_file(name) as f:
-                for row in records(f, wanted, self.payload):
+                for row in records(f, wanted, self.payload, self.strict):
                     rows.append(row)
                     size += 500 + len(row["payload"] or b"")
                     if size >= BATCH:
@@ -266,7 +283,7 @@ class WarcReader(D.DataSourceReader):
 
 
 class WarcSource(D.DataSource):
-    """``spark.read.format("warc").option("path", folder or file).option("payload", "true" or "false")``."""
+    """``spark.read.format("warc").option("path", folder or file).option("payload", "true" or "false")``; ``mode`` permissive reports broken archives as rows."""
 
     @classmethod
     def name(cls) -> str:
@@ -280,8 +297,10 @@ class WarcSource(D.DataSource):
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True, **options) -> DataFrame:
+    """Archives as a table. Predicates only reach Python sources where ``PUSHDOWN`` is on; it is switched on unless the session says otherwise."""
     spark.dataSource.register(WarcSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    if spark.conf.get(PUSHDOWN, "false") != "true":
+        spark.conf.set(PUSHDOWN, "true")
     return spark.read.format("warc").options(path=path, payload=str(payload).lower(), **options).load()
 
 
@@ -302,10 +321,23 @@ def archive_digest(archive: DataFrame) -> DataFrame:
     )
 
 
-def op1_warc(spark, sf_dir: str) -> DataFrame:
+def _written_and_read(spark, pages: DataFrame) -> DataFrame:
+    """Archives of the pages, read back twice: responses whole, revisits from their headers, blocks stepped over."""
     path = scratch(spark, "warc")
-    write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    return archive_digest(read_warc(spark, path))
+    write_warc(pages, path)
+    whole = read_warc(spark, path).where("record_type = 'response'")
+    heads = read_warc(spark, path, payload=False).where("record_type = 'revisit'")
+    return archive_digest(whole).unionByName(archive_digest(heads))
+
+
+def op1_warc(spark, sf_dir: str) -> DataFrame:
+    return _written_and_read(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def warc_revisits(spark, sf_dir: str) -> DataFrame:
+    """``op1_warc`` on the pages and a second visit of every third one, as the small tables hold no equal payloads."""
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return _written_and_read(spark, p.unionByName(p.where("page_id % 3 = 0").withColumn("page_id", F.col("page_id") + 1_000_000_000)))
 
 
 SQL = """
@@ -316,3 +348,5 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN first_id END AS refers_to
 FROM f
 """
+
+REVISITS_SQL = SQL.replace("FROM pages)", "FROM (SELECT page_id, html FROM pages UNION ALL SELECT page_id + 1000000000, html FROM pages WHERE page_id % 3 = 0))")
