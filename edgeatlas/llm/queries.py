@@ -18,6 +18,7 @@ QUERIES = {
     "warc_revisits": warc.warc_revisits,
     "mixing_targets": mixing.mixing_targets,
     "embedding_copies": vectors.embedding_copies,
+    "pii_base": pii.pii_base,
     "quality_base": quality.quality_base,
 }
 
@@ -29,5 +30,6 @@ SQL: dict[str, str] = {
     "warc_revisits": warc.REVISITS_SQL,
     "mixing_targets": mixing.TARGETS_SQL,
     "embedding_copies": vectors.COPIES_SQL,
+    "pii_base": pii.BASE_SQL,
     "quality_base": quality.BASE_SQL,
 }
