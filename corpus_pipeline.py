@@ -6,20 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeatlas.llm import jaccard, mixing, packing, pii, quality
-from edgeatlas.llm.session import scratch
+from edgeatlas.llm.session import free, scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the learned list keep; nulls and empty texts go, repeated rows share their verdict."""
     rules = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.assess(docs, rules).where("__quality.kept").select(*docs.columns)
+    (name,) = free(docs, "__quality")
+    return quality.assess(docs, rules, name=name).where(F.col(name)["kept"]).select(*docs.columns)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id. Rows of one id are one document; rows without an id stay."""
-    least = jaccard.jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(least, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """Of each group of near copies the document with the smallest id, one without an id only where none has one.
+
+    A document is named by its id and its text: rows alike in both are one document, of which the least row stays; rows with
+    one id and different texts are documents of their own.
+    """
+    (name,) = free(docs, "__name")
+    named = docs.withColumn(name, F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("c"), F.col("text").isNull().alias("d")))
+    kept = jaccard.jaccard_components(named, doc_id=name).where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    rows = named.join(kept, name, "left_semi").groupBy(name).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return rows.select("row.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
