@@ -12,10 +12,14 @@ from edgeatlas.extract.facts import FACTS_DDL, Facts
 Extractor = Callable[[str, bytes], Facts]
 
 
-def registry() -> dict[str, Extractor]:
+def registry(send_methods: tuple[str, ...] | None = None) -> dict[str, Extractor]:
+    """Extractors by language; ``send_methods`` are the C# methods whose first argument names a job."""
+    from functools import partial
+
     from edgeatlas.extract import config, csharp, python
 
-    return {"python": python.extract, "csharp": csharp.extract, "config": config.extract, "overrides": config.overrides}
+    sharp = csharp.extract if send_methods is None else partial(csharp.extract, sends=tuple(send_methods))
+    return {"python": python.extract, "csharp": sharp, "config": config.extract, "overrides": config.overrides}
 
 
 def extract_one(lang: str, path: str, content: bytes, extractors: dict[str, Extractor] | None = None) -> Facts:

@@ -66,7 +66,7 @@ def _numbered(text: str) -> Iterator[tuple[str, int]]:
 
 
 def yaml_keys(text: str) -> Iterator[tuple[str, int]]:
-    """(path joined by ``.``, line) of the leaves; an alias counts once, merge keys add nothing."""
+    """(path joined by ``.``, line) of the leaves; an alias counts once, so that merging one adds nothing; mappings merged in place add their keys."""
     seen: set[int] = set()
     budget = MOST_PAIRS
 
@@ -81,7 +81,11 @@ def yaml_keys(text: str) -> Iterator[tuple[str, int]]:
                 budget -= 1
                 if budget < 0:
                     raise ValueError("too many keys")
-                if k.value != "<<" and isinstance(k, yaml.ScalarNode):
+                if k.value == "<<":
+                    for x in v.value if isinstance(v, yaml.SequenceNode) else [v]:
+                        if isinstance(x, yaml.MappingNode) and id(x) not in seen:
+                            yield from walk(x, path, k.start_mark.line + 1)
+                elif isinstance(k, yaml.ScalarNode):
                     yield from walk(v, f"{path}.{k.value}" if path else str(k.value), k.start_mark.line + 1)
         elif path:
             yield path, line

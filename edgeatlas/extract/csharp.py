@@ -16,7 +16,7 @@ MODIFIERS = set("public private protected internal static abstract sealed virtua
 TYPE_WORDS = {"class", "interface", "struct", "enum", "record"}
 NOT_CALLS = set("if while for foreach switch using lock catch fixed return typeof sizeof default checked unchecked when nameof base this new await throw in is as and or not yield else do".split())
 NOT_TYPES = NOT_CALLS | set("var case break continue goto out ref const true false null get set init add remove where select from join let on equals by into orderby group ascending descending with".split())
-SENDS = ("Enqueue", "EnqueueAsync", "Send", "SendAsync")
+SENDS = ("Enqueue", "EnqueueAsync")
 
 
 @dataclass
@@ -399,7 +399,7 @@ class _File:
             self.setting(literal, at, scope, "ConnectionStrings")
         elif name in ("GetSection", "GetRequiredSection", "GetValue"):
             self.setting(literal, at, scope, self.section_before(i))
-        if name in SENDS and (chain or opaque):
+        if name in self.sends and (chain or opaque):
             if is_name(literal):
                 self.facts.add("refs", from_qualified=scope, to_name=literal, kind="queue", line=at.line)
             elif first.kind == "id":
@@ -408,5 +408,7 @@ class _File:
                     self.facts.add("refs", from_qualified=scope, to_name=dotted, kind="queue_const", line=at.line)
 
 
-def extract(path: str, content: bytes) -> Facts:
-    return _File(path, content.decode("utf-8", "replace").removeprefix("﻿").replace("\r\n", "\n")).run()
+def extract(path: str, content: bytes, sends: tuple[str, ...] = SENDS) -> Facts:
+    file = _File(path, content.decode("utf-8", "replace").removeprefix("\ufeff").replace("\r\n", "\n"))
+    file.sends = sends
+    return file.run()

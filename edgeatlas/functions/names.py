@@ -85,7 +85,7 @@ def included(path: Column, include: list[str], exclude: list[str]) -> Column:
 
 
 #: Files read as configuration.
-CONFIG_GLOBS = ("appsettings*.json", "*.yaml", "*.yml", ".env.example", "*.env.example", ".env.sample", "*.env.sample", "config*.json", "settings*.json", "pyproject.toml")
+CONFIG_GLOBS = ("appsettings*.json", "config*.json", "*.config.yaml", "*.config.yml", "docker-compose*.yml", "docker-compose*.yaml", ".env.example", ".env.sample", ".env.template", "pyproject.toml")
 OVERRIDES_FILE = "edgeatlas.overrides.yaml"
 
 

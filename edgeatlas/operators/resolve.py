@@ -10,8 +10,6 @@ Every reference ends at the first rule that hits, and some rules end it even whe
 
 from __future__ import annotations
 
-import builtins
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,14 +18,35 @@ from edgeatlas.schemas import MAX_CANDIDATES, RULES
 from edgeatlas.session import cut
 
 # ---- fixed values: names too common to guess at
-COMMON = (
-    "get set run init start stop close open read write update delete add remove append extend pop push send call execute process handle load save create "
-    "build parse format render validate main setup reset clear copy keys values items join split strip replace encode decode emit next apply map filter "
-    "reduce then catch log debug info warning error ToString Equals GetHashCode"
-).split()
-CSHARP_COMMON = "ToString Equals GetHashCode Dispose Add Remove Get Set Execute Handle Invoke Configure Map Select Where Any First ToList ToListAsync SaveChangesAsync".split()
+COMMON = [
+    "get", "set", "run", "init", "start", "stop", "close", "open", "read", "write", "update", "delete", "add", "remove", "append", "extend", "pop",
+    "push", "send", "call", "execute", "process", "handle", "load", "save", "create", "build", "parse", "format", "render", "validate", "main",
+    "setup", "reset", "clear", "copy", "keys", "values", "items", "join", "split", "strip", "replace", "encode", "decode", "emit", "next", "apply",
+    "map", "filter", "reduce", "then", "catch", "log", "debug", "info", "warning", "error", "ToString", "Equals", "GetHashCode",
+]
+CSHARP_COMMON = [
+    "ToString", "Equals", "GetHashCode", "Dispose", "Add", "Remove", "Get", "Set", "Execute", "Handle", "Invoke", "Configure", "Map", "Select",
+    "Where", "Any", "First", "ToList", "ToListAsync", "SaveChangesAsync",
+]
+#: Python's built-in names, of version 3.13.
+BUILTINS = [
+    "ArithmeticError", "AssertionError", "AttributeError", "BaseException", "BaseExceptionGroup", "BlockingIOError", "BrokenPipeError", "BufferError",
+    "BytesWarning", "ChildProcessError", "ConnectionAbortedError", "ConnectionError", "ConnectionRefusedError", "ConnectionResetError",
+    "DeprecationWarning", "EOFError", "Ellipsis", "EncodingWarning", "EnvironmentError", "Exception", "ExceptionGroup", "False", "FileExistsError",
+    "FileNotFoundError", "FloatingPointError", "FutureWarning", "GeneratorExit", "IOError", "ImportError", "ImportWarning", "IndentationError",
+    "IndexError", "InterruptedError", "IsADirectoryError", "KeyError", "KeyboardInterrupt", "LookupError", "MemoryError", "ModuleNotFoundError",
+    "NameError", "None", "NotADirectoryError", "NotImplemented", "NotImplementedError", "OSError", "OverflowError", "PendingDeprecationWarning",
+    "PermissionError", "ProcessLookupError", "PythonFinalizationError", "RecursionError", "ReferenceError", "ResourceWarning", "RuntimeError",
+    "RuntimeWarning", "StopAsyncIteration", "StopIteration", "SyntaxError", "SyntaxWarning", "SystemError", "SystemExit", "TabError", "TimeoutError",
+    "True", "TypeError", "UnboundLocalError", "UnicodeDecodeError", "UnicodeEncodeError", "UnicodeError", "UnicodeTranslateError", "UnicodeWarning",
+    "UserWarning", "ValueError", "Warning", "ZeroDivisionError", "abs", "aiter", "all", "anext", "any", "ascii", "bin", "bool", "breakpoint",
+    "bytearray", "bytes", "callable", "chr", "classmethod", "compile", "complex", "copyright", "credits", "delattr", "dict", "dir", "divmod",
+    "enumerate", "eval", "exec", "exit", "filter", "float", "format", "frozenset", "getattr", "globals", "hasattr", "hash", "help", "hex", "id",
+    "input", "int", "isinstance", "issubclass", "iter", "len", "license", "list", "locals", "map", "max", "memoryview", "min", "next", "object",
+    "oct", "open", "ord", "pow", "print", "property", "quit", "range", "repr", "reversed", "round", "set", "setattr", "slice", "sorted",
+    "staticmethod", "str", "sum", "super", "tuple", "type", "vars", "zip",
+]
 # ---- end of fixed values
-BUILTINS = sorted(n for n in dir(builtins) if not n.startswith("_"))
 HOPS = 3
 
 

@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from edgeatlas.functions.names import glob_regex, included, language
 
 # ---- fixed values
-SKIPPED = {"node_modules", "venv", "__pycache__", "bin", "obj", "dist", "build", "target"}
+SKIPPED = {"node_modules", "venv", "__pycache__", "site-packages", "bin", "obj"}
 MARKERS = ("pyproject.toml", "setup.py", "setup.cfg", "requirements.txt")
 DEPTH, LARGEST = 4, 2_000_000
-EXCLUDED = ["*/node_modules/*", "*/bin/*", "*/obj/*", "*.min.js", "*/.venv/*", "*/venv/*"]
+EXCLUDED = ["**/node_modules/**", "**/.venv/**", "**/venv/**", "**/vendor/**", "**/dist/**", "**/build/**"]
+SEND_METHODS = ["Enqueue", "EnqueueAsync"]
 # ---- end of fixed values
 
 
@@ -36,9 +37,9 @@ class Config:
     include: list[str] = field(default_factory=list)
     exclude: list[str] = field(default_factory=lambda: list(EXCLUDED))
     languages: list[str] = field(default_factory=lambda: ["python", "csharp"])
-    projects: str | list[str] = "auto"
+    projects: str | list[str] = "off"
     extra_redaction_patterns: list[str] = field(default_factory=list)
-    send_methods: list[str] = field(default_factory=list)
+    send_methods: list[str] = field(default_factory=lambda: list(SEND_METHODS))
 
 
 def load_config(path: str | Path) -> Config:
@@ -51,6 +52,10 @@ def load_config(path: str | Path) -> Config:
         return Config()
     except (tomllib.TOMLDecodeError, UnicodeDecodeError) as e:
         raise ConfigError(f"{Path(path).name}: not valid TOML ({type(e).__name__})") from None
+    queues = raw.pop("queues", {})
+    if not isinstance(queues, dict) or not {*queues} <= {"send_methods"} or "send_methods" in raw:
+        raise ConfigError(f"{Path(path).name}: queues must be a table with send_methods")
+    raw |= queues
     known = Config.__dataclass_fields__
     for key, value in raw.items():
         if key not in known:
@@ -68,7 +73,7 @@ def load_config(path: str | Path) -> Config:
 
 def git(repo: Path, *args: str) -> bytes:
     try:
-        return subprocess.run(["git", "-c", "core.fsmonitor=false", "-c", "safe.directory=*", "-C", str(repo), *args], capture_output=True, check=True, timeout=120).stdout
+        return subprocess.run(["git", "-c", "core.fsmonitor=false", "-C", str(repo), *args], capture_output=True, check=True, timeout=120).stdout
     except (OSError, subprocess.SubprocessError) as e:
         raise IngestError(f"git {args[0]} failed in {repo.name}") from e
 
@@ -89,7 +94,10 @@ def tracked_files(repo: Path) -> list[str]:
 
 
 def discover_repos(root: str | Path) -> list[Path]:
-    """The root itself, or repositories up to four levels down, links not followed, nothing inside a repository."""
+    """The root itself, or repositories up to four levels down, links not followed, nothing inside a repository.
+
+    A repository counts whatever its name; folders that can't be read, hidden ones and those named in SKIPPED are not searched.
+    """
     root = Path(root)
     if (root / ".git").exists():
         return [root]
@@ -97,10 +105,15 @@ def discover_repos(root: str | Path) -> list[Path]:
     for _ in range(DEPTH):
         below = []
         for d in at:
-            for x in d.iterdir():
-                if x.is_symlink() or not x.is_dir() or x.name.startswith(".") or x.name in SKIPPED:
-                    continue
-                (found if (x / ".git").exists() else below).append(x)
+            try:
+                entries = [x for x in d.iterdir() if not x.is_symlink() and x.is_dir()]
+            except OSError:
+                continue
+            for x in entries:
+                if os.access(x, os.X_OK) and (x / ".git").exists():
+                    found.append(x)
+                elif not x.name.startswith(".") and x.name not in SKIPPED:
+                    below.append(x)
         at = below
     return sorted(found, key=lambda p: p.relative_to(root).as_posix())
 
@@ -114,7 +127,7 @@ def inside(path: Path, root: Path) -> bool:
     return not path.is_symlink() and path.is_file() and root.resolve() in path.resolve().parents
 
 
-def project_roots(tracked: list[str], mode: str | list[str] = "auto") -> list[str]:
+def project_roots(tracked: list[str], mode: str | list[str] = "off") -> list[str]:
     """Folders that count as projects of their own: with a Python marker or a solution, or a C# project under no solution. Never the root."""
     if mode == "off":
         return []
