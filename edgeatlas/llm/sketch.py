@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from edgeatlas.llm.session import release
+from edgeatlas.llm.session import cut, release
 from edgeatlas.llm.words import mix
 
 _SALT = np.uint64(0xA0761D6478BD642F)
@@ -86,8 +86,9 @@ class Sketch:
 
         width = size * bits // 8
         out, many = bytearray(self.rows * self.shards * width), 0
-        # a task has about one shard, so no more than that reaches the driver at once
-        for r in parts.repartition(self.rows * self.shards, "shard").mapInArrow(run, "shard int, cells binary, many long").toLocalIterator():
+        # all shards are summed side by side and written; the driver then fetches some 16 MB of them at a time
+        summed = cut(parts.repartition(self.rows * self.shards, "shard").mapInArrow(run, "shard int, cells binary, many long"), "sketch")
+        for r in summed.coalesce(max(1, len(out) >> 24)).toLocalIterator():
             out[r[0] * width : (r[0] + 1) * width] = r[1]
             many += r[2]
         return spark.sparkContext.broadcast(out), many
