@@ -65,7 +65,7 @@ def ship_parcel(n):
 ''',
     "appsettings.json": '{\n  "Quote": {\n    "Address": "https://example.invalid",\n    "Seconds": 30\n  },\n  "VAT_FACTOR": "0.2"\n}\n',
     ".env.example": "QUOTE_ADDRESS=\nVAT_FACTOR=0.2\n",
-    "settings.yaml": "quote:\n  address: x\n  retry: [1, 2]\nlevel: 3\n",
+    "settings.config.yaml": "quote:\n  address: x\n  retry: [1, 2]\nlevel: 3\n",
     "pyproject.toml": '[project]\nname = "store"\n\n[project.scripts]\nstore = "store.main:run_store"\n',
 }
 
