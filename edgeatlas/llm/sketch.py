@@ -86,9 +86,9 @@ class Sketch:
 
         width = size * bits // 8
         out, many = bytearray(self.rows * self.shards * width), 0
-        # all shards are summed side by side and written; the driver then fetches some 16 MB of them at a time
+        # all shards are summed side by side and written; the driver then fetches some 4 MB of them at a time
         summed = cut(parts.repartition(self.rows * self.shards, "shard").mapInArrow(run, "shard int, cells binary, many long"), "sketch")
-        for r in summed.coalesce(max(1, len(out) >> 24)).toLocalIterator():
+        for r in summed.coalesce(max(1, len(out) >> 22)).toLocalIterator():
             out[r[0] * width : (r[0] + 1) * width] = r[1]
             many += r[2]
         return spark.sparkContext.broadcast(out), many
