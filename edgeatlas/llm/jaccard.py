@@ -2,10 +2,12 @@
 
 Nodes are distinct shingle sets, named by a 64-bit signature, so copies collapse before anything is compared. Two linked
 sets share an n-gram among the first |x| - ceil(0.75 |x|) + 1 of each in any fixed order; the order here is rarest first by a
-count-min sketch (only consistency matters for exactness). Sets that share such a column fall into one cluster; within a
-cluster, blocks of rows are multiplied: overlap counts accumulate over columns (common columns as a dense product, rare ones
-by their pairs), pairs of impossible sizes are discarded, the rest are decided by the exact count. Only a spanning forest of
-each block pair's links leaves it.
+count-min sketch (only consistency matters for exactness). The sketch has a fixed size, so on large inputs many sets that are not alike
+share such a column. The pairs of a column of at most ``PAIRED`` sets therefore go through an exact bound first: a set's bitmap holds the
+parity of its hashes by position, and two sets differ in at least as many hashes as their bitmaps in bits. Pairs that may still
+link, and all sets of a larger column, fall into one cluster; within a cluster, blocks of rows are multiplied: overlap counts
+accumulate over columns (common columns as a dense product, rare ones by their pairs), pairs of impossible sizes are
+discarded, the rest are decided by the exact count. Only a spanning forest of each block pair's links leaves it.
 """
 
 from __future__ import annotations
@@ -28,6 +30,10 @@ FREQUENCY, CLUSTERED = Sketch(rows=1, cell_bits=27, times=15), Sketch(rows=1, ce
 LEVELS = (1, 2, 3, 4, 5, 6, 8, 12, 16, 24, 32, 64, 96, 128, 255)
 #: Entries that a chunk holds; sets and entries of a block at most (a larger single set is a block).
 CHUNK, BLOCK_SETS, BLOCK_ENTRIES = 1 << 20, 1024, 1 << 20
+#: Columns of at most this many sets are compared pair by pair before they form clusters.
+PAIRED = 32
+#: Bits of a bitmap: a power of two, about a set's size, within these.
+LEAST_BITS, MOST_BITS = 64, 1 << 15
 #: Columns of a block pair with this many rows or more are multiplied densely, so many at a time.
 DENSE, COLUMNS = 24, 2048
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -65,6 +71,54 @@ def signatures(off: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def bitmaps(off: np.ndarray, h: np.ndarray) -> list[bytes]:
+    """A set's bitmap: at each of its positions whether an odd number of hashes falls there; the last bits of a hash are its position."""
+    size, x = np.diff(off), mix(h ^ _B)
+    bits = np.clip(1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64), LEAST_BITS, MOST_BITS)
+    at = np.concatenate([[0], np.cumsum(bits)])
+    place = (x & np.repeat(bits - 1, size).astype(np.uint64)).astype(np.int64) + np.repeat(at[:-1], size)
+    packed = np.packbits(np.bincount(place, minlength=int(at[-1])) & 1, bitorder="little").tobytes()
+    return [packed[i // 8 : j // 8] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def may_link(n: np.ndarray, m: np.ndarray, a: list[bytes], b: list[bytes], percent: int = PERCENT) -> np.ndarray:
+    """Mask of pairs that sizes and bitmaps leave open: of n + m hashes as many at least are not shared as bits differ."""
+    ok = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+    wide, near = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
+    for w, v in sorted(set(zip(wide[ok].tolist(), near[ok].tolist(), strict=True))):
+        at = np.flatnonzero(ok & (wide == w) & (near == v))
+        x, y = (np.frombuffer(b"".join(c[i] for i in at), np.uint8).reshape(len(at), -1) for c in (a, b))
+        least = min(w, v)  # the wider one folds onto the other's positions
+        x, y = (np.bitwise_xor.reduce(z.reshape(len(at), -1, least), axis=1) for z in (x, y))
+        differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+        both = n[at] + m[at]
+        ok[at] = (100 + percent) * (both - differ) >= 2 * percent * both
+    return ok
+
+
+def column_pairs(c: np.ndarray, k: np.ndarray, a: np.ndarray, tied: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From rows of whole columns (column, size class, set, whether others are tied to the set): the pairs to compare, and the links
+    that hold together what is not compared."""
+    o = np.lexsort((~tied, a, k, c))
+    c, k, a, tied = c[o], k[o], a[o], tied[o]
+    new = np.ones(len(c), bool)
+    new[1:] = (c[1:] != c[:-1]) | (a[1:] != a[:-1])
+    c, k, a, tied = c[new], k[new], a[new], tied[new]
+    start = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, len(c)))
+    few = np.repeat((size <= PAIRED) & (np.add.reduceat(tied.astype(np.int64), start) == 0 if len(start) else True), size)
+    pairs = [np.zeros((0, 2), np.int64)]
+    for d in range(1, min(PAIRED, len(c))):
+        near = few[d:] & (c[d:] == c[:-d]) & (k[d:] - k[:-d] <= 1)
+        if not near.any():
+            break
+        x, y = a[d:][near], a[:-d][near]
+        pairs.append(np.stack([np.maximum(x, y), np.minimum(x, y)], 1))
+    near = ~few[1:] & (c[1:] == c[:-1]) & (k[1:] - k[:-1] <= 1)
+    chain = np.stack([a[1:][near], a[:-1][near]], 1)
+    return np.unique(np.concatenate(pairs), axis=0), np.unique(chain, axis=0)
+
+
 def _first_of(sig: np.ndarray, seen: set[int]) -> np.ndarray:
     """Mask of rows whose non-empty set this task has not met; ``seen`` is emptied when it grows large."""
     if len(seen) > 1 << 19:
@@ -150,13 +204,15 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            sig, size, maps = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
             for _, off, h in shingle_sets(batch.column(1)):
                 sig.append(signatures(off, h))
                 size.append(np.diff(off))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(size)), pa.array(np.concatenate(sig))], names=["doc_id", "n_shingles", "sig"])
+                maps += bitmaps(off, h)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(size)), pa.array(np.concatenate(sig)), pa.array(maps, pa.binary())], names=["doc_id", "n_shingles", "sig", "bits"])
 
-    signed = cut(d.mapInArrow(sign, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_shingles long, sig long"), "signed")
+    written = cut(d.mapInArrow(sign, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_shingles long, sig long, bits binary"), "signed")
+    signed = written.drop("bits")
     texts = d.select("text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,38 +230,49 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             rank = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
             keep = np.repeat(size - -(-PERCENT * size // 100) + 1, size)
             chosen = order[(rank < keep) & (level[order] > 1)]
-            # of a column's rows of one size class, one goes on; the others are tied to it here
+            # of a column's rows of one size class, one goes on where they are many; the others are tied to it here
             c, r = h[chosen], row[chosen]
             k = size_class(size)[r]
             o = np.lexsort((r, k, c))
             c, r, k = c[o], r[o], k[o]
             lead = np.ones(len(c), bool)
             lead[1:] = (c[1:] != c[:-1]) | (k[1:] != k[:-1])
-            to = r[lead][np.cumsum(lead) - 1] if len(c) else r
-            pair = np.unique(np.stack([sig[r[~lead]], sig[to[~lead]]], 1), axis=0) if (~lead).any() else np.zeros((0, 2), np.int64)
-            n, e = int(lead.sum()), len(pair)
+            run = np.cumsum(lead) - 1
+            to, many = r[lead][run] if len(c) else r, (np.bincount(run) > PAIRED)[run] if len(c) else lead
+            on, off = ~many | lead, many & ~lead
+            pair = np.unique(np.stack([sig[to[off]], sig[r[off]]], 1), axis=0) if off.any() else np.zeros((0, 2), np.int64)
+            # class: twice the size class, and 1 where others are tied to the set; -1: a link of two sets
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([c[lead].view(np.int64), pair[:, 0]])), pa.array(np.concatenate([sig[r[lead]], pair[:, 0]])), pa.array(np.concatenate([k[lead], np.full(e, -1, np.int32)])), pa.array(np.concatenate([np.zeros(n, np.int64), pair[:, 1]]))],
-                names=["column", "a", "class", "b"],
+                [pa.array(np.concatenate([c[on].view(np.int64), pair[:, 0]])), pa.array(np.concatenate([sig[r[on]], pair[:, 1]])), pa.array(np.concatenate([2 * k[on] + many[on], np.full(len(pair), -1)]).astype(np.int32))],
+                names=["column", "a", "class"],
             )
 
     def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = []
         for batch in batches:
-            c, a, k, b = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
-            tied = k < 0
-            if tied.any():
-                yield _pairs(np.stack([a[tied], b[tied]], 1))
-            got.append((c[~tied], k[~tied], a[~tied]))
+            c, a, k = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
+            link = k < 0
+            if link.any():
+                yield _pairs(np.stack([a[link], c[link]], 1), False)
+            got.append((c[~link], k[~link], a[~link]))
         if got:
             c, k, a = (np.concatenate(x) for x in zip(*got, strict=True))
-            o = np.lexsort((a, k, c))
-            c, k, a = c[o], k[o], a[o]
-            near = (c[1:] == c[:-1]) & (k[1:] - k[:-1] <= 1) & (a[1:] != a[:-1])
-            yield _pairs(np.stack([a[1:][near], a[:-1][near]], 1))
+            pairs, chain = column_pairs(c, k >> 1, a, (k & 1) > 0)
+            yield _pairs(pairs, True)
+            yield _pairs(chain, False)
 
-    rows = texts.mapInArrow(prefixes, "column long, a long, class int, b long")
-    candidates = rows.repartition("column").mapInArrow(columns, "a long, b long")
+    def open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n, m = (x.to_numpy(zero_copy_only=False) for x in batch.columns[:4])
+            ok = may_link(n, m, batch.column(4).to_pylist(), batch.column(5).to_pylist())
+            yield _pairs(np.stack([a[ok], b[ok]], 1))
+
+    rows = texts.mapInArrow(prefixes, "column long, a long, class int")
+    met = cut(rows.repartition("column").mapInArrow(columns, "a long, b long, compare boolean"), "met")
+    maps = written.where("sig != 0").groupBy("sig").agg(F.first("n_shingles").alias("n"), F.first("bits").alias("bits"))
+    side = lambda s, n: maps.select(F.col("sig").alias(s), F.col("n").alias(n), F.col("bits").alias(f"bits_{s}"))
+    pairs = met.where("compare").select("a", "b").distinct().join(side("a", "n"), "a").join(side("b", "m"), "b").select("a", "b", "n", "m", "bits_a", "bits_b")
+    candidates = pairs.mapInArrow(open_pairs, "a long, b long").unionByName(met.where("not compare").select("a", "b"))
     clusters = cut(components(candidates).select(F.col("node").alias("sig"), F.col("component").alias("cluster")), "clusters")
     often.destroy()  # what it served is written
 
@@ -260,8 +327,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return named.where("sig != 0").join(ids, "root").select("doc_id", "n_shingles", F.col("least").alias("component_id")).unionByName(alone)
 
 
-def _pairs(p: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p[:, 0])), pa.array(np.ascontiguousarray(p[:, 1]))], names=["a", "b"])
+def _pairs(p: np.ndarray, compare: bool | None = None) -> pa.RecordBatch:
+    more = [] if compare is None else [pa.array(np.full(len(p), compare))]
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p[:, 0])), pa.array(np.ascontiguousarray(p[:, 1])), *more], names=["a", "b", "compare"][: 2 + len(more)])
 
 
 def op9_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

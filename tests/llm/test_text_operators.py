@@ -95,6 +95,38 @@ def plain_components(rows):
     return Counter((d, len(sets[i]), least[find(i)]) for i, (d, *_) in enumerate(rows))
 
 
+def test_jaccard_on_a_crowded_sketch(spark, monkeypatch):
+    """A sketch far too small for its input ranks nothing: texts that share a passage and are not alike form no clusters all the same."""
+    from edgeatlas.llm.sketch import Sketch
+
+    def words(i, n):
+        return [f"w{i}x{j}" for j in range(n)]
+
+    chain = [(i, " ".join(words(i, 30) + words(1000 + i, 20) + words(1001 + i, 20))) for i in range(60)]
+    near = [(100 + i, " ".join([*words(2000, 200), f"own{i}"])) for i in range(3)] + [(110 + i, " ".join([*words(3000 + j, 8), *words(4000, 60)])) for i, j in enumerate(range(50))]
+    rows = chain + near
+    met, plain = [], jaccard.components
+    monkeypatch.setattr(jaccard, "FREQUENCY", Sketch(rows=1, cell_bits=4, shard_bits=2, times=15))
+    monkeypatch.setattr(jaccard, "components", lambda e: met.append({x for r in e.collect() for x in r}) or plain(e))
+    got = Counter(tuple(r) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == plain_components(rows)
+    assert len({c for _, _, c in got}) < len(rows)
+    assert len(met[0]) <= 53  # sets that meet in a cluster; none of the chain
+
+
+def test_bitmaps_bound_the_difference():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for n, m in ((1, 1), (40, 50), (60, 70), (300, 390), (3000, 3900)):
+        for common in sorted({0, n // 2, n - n // 10, n}):
+            h = rng.integers(0, 2**63, n + m, dtype=np.uint64)
+            x, y = h[:n], np.concatenate([h[:common], h[n : n + m - common]])
+            a, b = jaccard.bitmaps(np.array([0, n, n + m]), np.concatenate([x, y]))
+            linked = 100 * common >= 75 * (n + m - common)
+            assert jaccard.may_link(np.array([n]), np.array([m]), [a], [b])[0] or not linked
+
+
 def test_jaccard(docs):
     assert Counter(tuple(r) for r in jaccard.jaccard_components(docs).collect()) == plain_components(corpus())
 
