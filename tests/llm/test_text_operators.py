@@ -370,6 +370,20 @@ def test_a_long_log_leaves_examples_of_other_kinds(spark, monkeypatch):
     assert spans[999] == "card:4:20,card:21:37" and all("secret:" in spans[i] for i in range(120))
 
 
+def test_pii_kinds_come_from_all_documents(spark):
+    """A kind in few of many documents, and in texts without two digits in a row, is learnt all the same."""
+    import hashlib
+
+    letters = str.maketrans("0123456789", "ghijkmnpqr")
+    key = lambda i: hashlib.sha256(str(i).encode()).hexdigest()[:40].translate(letters)
+    rows = [(i, f"server 10.0.{i % 250}.{i // 250} is up") for i in range(9000)] + [(20000 + i, f'token = "{key(i)}"') for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pii.fit(df)
+    assert model.cuts[pii.KINDS.index("secret")] <= 1
+    found = pii.find(df.where("doc_id >= 20000"), model).select(pii.digest(F.col("__pii.all"))).collect()
+    assert all(r[0] == "secret:9:49" for r in found)
+
+
 # ---- toxicity
 
 def test_forward_backward_against_enumeration():
