@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeatlas.llm import jaccard, mixing, packing, pii, quality
-from edgeatlas.llm.session import free, scratch
+from edgeatlas.llm.session import cut, free, scratch
+from edgeatlas.llm.sketch import Sketch, at_least
+
+#: Names of documents that go or have several rows: 2**26 cells of 1 bit, 8 MB. Others may share a cell, which changes no result.
+UNSETTLED = Sketch(rows=1, cell_bits=26, times=1)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,9 +33,25 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     (name,) = free(docs, "__name")
     named = docs.withColumn(name, F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("c"), F.col("text").isNull().alias("d")))
-    kept = jaccard.jaccard_components(named, doc_id=name).where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
-    rows = named.join(kept, name, "left_semi").groupBy(name).agg(F.min(F.struct(*docs.columns)).alias("row"))
-    return rows.select("row.*")
+    found = jaccard.jaccard_components(named, doc_id=name).groupBy(F.col("doc_id").alias(name)).agg(F.first(F.expr("doc_id = component_id")).alias("kept"), F.count("*").alias("rows"))
+    found = cut(found, "names")
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield UNSETTLED.partial(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+
+    # a row stays as it is, and its text where it is, unless its name may be of a document that goes or has several rows
+    hashed = lambda df: df.select(F.xxhash64(name).alias("h"))
+    marked = UNSETTLED.total(spark, hashed(found.where("not kept or rows > 1")).mapInArrow(mark, "shard int, cells binary"), at_least(1), 1)
+
+    @F.pandas_udf("boolean")
+    def unsettled(h: pd.Series) -> pd.Series:
+        return pd.Series(UNSETTLED.bit(np.frombuffer(marked.value, np.uint8), h.to_numpy().view(np.uint64)))
+
+    (flag,) = free(named, "__unsettled")
+    asked = named.withColumn(flag, unsettled(F.xxhash64(name)))
+    rows = asked.where(flag).join(found.where("kept").select(name), name, "left_semi").groupBy(name).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return asked.where(~F.col(flag)).select(*docs.columns).unionByName(rows.select("row.*"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

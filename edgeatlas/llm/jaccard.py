@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeatlas.llm.components import components, forest
-from edgeatlas.llm.session import cut, small_batches
+from edgeatlas.llm.session import cut, drop, small_batches
 from edgeatlas.llm.sketch import Sketch, at_least, levels
 from edgeatlas.llm.words import Words, blocks, mix, raw
 
@@ -275,6 +275,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     candidates = pairs.mapInArrow(open_pairs, "a long, b long").unionByName(met.where("not compare").select("a", "b"))
     clusters = cut(components(candidates).select(F.col("node").alias("sig"), F.col("component").alias("cluster")), "clusters")
     often.destroy()  # what it served is written
+    drop(spark, met)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

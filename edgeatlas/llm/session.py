@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edgeatlas.session import cut, discard, scratch, shared_dir
+from edgeatlas.session import cut, discard, drop, scratch, shared_dir
 
-__all__ = ["cut", "discard", "free", "release", "scratch", "shared_dir", "small_batches"]
+__all__ = ["cut", "discard", "drop", "free", "release", "scratch", "shared_dir", "small_batches"]
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from edgeatlas.llm.session import cut, release
+from edgeatlas.llm.session import cut, drop, release
 from edgeatlas.llm.words import mix
 
 _SALT = np.uint64(0xA0761D6478BD642F)
@@ -91,6 +91,7 @@ class Sketch:
         for r in summed.coalesce(max(1, len(out) >> 22)).toLocalIterator():
             out[r[0] * width : (r[0] + 1) * width] = r[1]
             many += r[2]
+        drop(spark, summed)
         return spark.sparkContext.broadcast(out), many
 
     def bit(self, table: np.ndarray, h: np.ndarray) -> np.ndarray:

@@ -224,3 +224,29 @@ def test_pipeline(spark, sf):
     whole = p.run(spark, sf)
     assert set(whole.columns) == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}
     assert {r["doc_id"] for r in whole.select("doc_id").distinct().collect()} == set(m)
+
+
+@pytest.mark.parametrize("cells", [3, 26])
+def test_pipeline_near_copies_leave_other_texts_in_place(spark, monkeypatch, cells):
+    """Texts are shuffled only of names that go or have several rows; names that share a cell with such (3 bits: all do) change nothing."""
+    import corpus_pipeline as p
+    from edgeatlas.llm.sketch import Sketch
+
+    monkeypatch.setattr(p, "UNSETTLED", Sketch(rows=1, cell_bits=cells, shard_bits=min(cells, 22), times=1))
+    own = [(i, " ".join(f"w{i}x{j}" for j in range(9)), "a") for i in range(10, 40)]
+    near = [(3, "one two three four five six", "a"), (5, "One two three four five six", "a"), (3, "one two three four five six", "b")]
+    odd = [(3, "another text of one id again", "z"), (None, "one two three four five six", "c"), (None, None, None), (None, None, None), (7, "", "e"), (8, None, "f"), (8, None, "f")]
+    df = p.ngram_jaccard(spark, spark.createDataFrame(own + near + odd, "doc_id long, text string, lang string"), "")
+    assert Counter(map(tuple, df.collect())) == Counter(own + [near[0], *odd[:1], odd[2], odd[4], odd[5]])
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Union") < plan.index("Join") and "unsettled" in plan
+
+
+def test_components_keep_no_rounds(spark, tmp_path):
+    """The shared folder keeps the last round's table, not those before it."""
+    from edgeatlas import session
+
+    before = set(session._made)
+    got = components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"))
+    assert len(set(session._made) - before) == 1
+    assert {tuple(r) for r in got.collect()} == {(i, 0) for i in range(41)}
