@@ -250,3 +250,18 @@ def test_components_keep_no_rounds(spark, tmp_path):
     got = components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"))
     assert len(set(session._made) - before) == 1
     assert {tuple(r) for r in got.collect()} == {(i, 0) for i in range(41)}
+
+
+def test_written_tables_tidy_the_driver(spark, monkeypatch):
+    """Writing a table collects the JVM's garbage, but not again within some seconds."""
+    from edgeatlas import session
+
+    factory = spark.sparkContext._jvm.java.lang.management.ManagementFactory
+    calls = lambda: sum(b.getCollectionCount() for b in factory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    monkeypatch.setattr(session, "_tidied", [float("-inf")])
+    before = calls()
+    session.cut(spark.range(3))
+    once = calls()
+    assert once > before
+    session.tidy(spark)
+    assert calls() == once
