@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from edgeatlas.operators import intervals
+
 TOLERANCE = 0.02
 
 
@@ -41,12 +43,9 @@ def regressions(now: DataFrame, baseline: DataFrame, tolerance: float = TOLERANC
     return b.join(now.select("tool", "f1"), "tool", "left").select("tool", "before", F.coalesce("f1", F.lit(0.0)).alias("f1")).where(F.col("f1") < F.col("before") - tolerance)
 
 
-def enclosing(points: DataFrame, spans: DataFrame, rank: Column | None = None) -> DataFrame:
-    """The span of the least ``rank`` around each point, by default the innermost. ``points``: path, line; ``spans``: path, qualified_name, line_start, line_end."""
-    if rank is None:
-        rank = F.struct(F.col("line_end") - F.col("line_start"), "qualified_name")
-    j = points.join(spans, "path").where((F.col("line_start") <= F.col("line")) & (F.col("line") <= F.col("line_end")))
-    return j.groupBy("path", "line").agg(F.min_by("qualified_name", rank).alias("qualified_name"))
+def enclosing(points: DataFrame, spans: DataFrame, rank: list[Column] | None = None) -> DataFrame:
+    """The span that ranks first around each point, by default the innermost. ``points``: path, line; ``spans``: path, qualified_name, line_start, line_end."""
+    return intervals.best_around(points, spans, rank or [F.col("line_end") - F.col("line_start")])
 
 
 def grep(texts: DataFrame, word: str) -> DataFrame:
