@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from edgeatlas.operators.lookup import lookup
 from edgeatlas.session import cut
 
 TYPES = ("class", "interface")
@@ -43,27 +44,27 @@ def _usings(facts) -> tuple[DataFrame, DataFrame]:
 
 
 def resolve_types(facts, wanted: DataFrame) -> DataFrame:
-    """key, type, rule: the qualified types that a name means where it stands. ``wanted``: key, file_id, repo, name, enclosing (type or null)."""
-    types = facts.symbols.where((F.col("lang") == "csharp") & F.col("kind").isin(*TYPES))
-    known = types.groupBy(F.col("qualified_name").alias("type")).agg(F.collect_set("file_id").alias("in_files"))
+    """key, type, to_symbol_id, rule: the types that a name means where it stands. ``wanted``: key, file_id, repo, name, enclosing (type or null)."""
     alias, using = _usings(facts)
     head = F.regexp_extract("name", r"\A([^.]+)", 1)
     rest = F.regexp_extract("name", r"\A[^.]+(\..*)?\z", 1)
     w = wanted.withColumns({"head": head, "tail": rest})
     w = w.join(alias.withColumnRenamed("alias", "head"), ["file_id", "head"], "left")
-    aliased = w.where("target is not null").select("key", "file_id", F.lit(0).alias("priority"), F.lit(False).alias("by_using"), F.concat("target", "tail").alias("type"))
+    aliased = w.where("target is not null").select("key", "file_id", "repo", F.lit(0).alias("priority"), F.lit(False).alias("by_using"), F.concat("target", "tail").alias("type"))
     stop = w.where("target is not null").select("key", F.lit(1).alias("priority"))
     w = w.where("target is null")
     # nested in the enclosing types, then in the namespaces around, then on its own: one outward walk
     outward = F.concat(F.transform(_chain(F.coalesce("enclosing", F.lit(""))), lambda e: F.concat(e, F.lit("."), F.col("name"))), F.array("name"))
-    walk = w.select("key", "file_id", F.posexplode(outward).alias("at", "type")).select("key", "file_id", (F.col("at") + 2).alias("priority"), F.lit(False).alias("by_using"), "type")
-    used = w.join(using.where(~F.col("static")), "file_id").select("key", "file_id", F.lit(1000).alias("priority"), F.lit(True).alias("by_using"), F.concat_ws(".", "namespace", "name").alias("type"))
-    hits = aliased.unionByName(walk).unionByName(used).join(known, "type")
-    all_ = hits.select("key", "priority", "type", F.array_contains("in_files", F.col("file_id")).alias("here"), "by_using").unionByName(stop.select("key", "priority", F.lit(None).cast("string").alias("type"), F.lit(False).alias("here"), F.lit(False).alias("by_using")))
+    walk = w.select("key", "file_id", "repo", F.posexplode(outward).alias("at", "type")).select("key", "file_id", "repo", (F.col("at") + 2).alias("priority"), F.lit(False).alias("by_using"), "type")
+    used = w.join(using.where(~F.col("static")), "file_id").select("key", "file_id", "repo", F.lit(1000).alias("priority"), F.lit(True).alias("by_using"), F.concat_ws(".", "namespace", "name").alias("type"))
+    asked = aliased.unionByName(walk).unionByName(used).withColumns({"qualified": F.col("type"), "lang": F.lit("csharp")})
+    hits = lookup(asked, facts.symbols, ["key", "file_id", "priority", "by_using", "type"], TYPES)
+    hits = hits.select("key", "priority", "type", "to_symbol_id", (F.col("to_file") == F.col("file_id")).alias("here"), "by_using")
+    all_ = hits.unionByName(stop.withColumns({"here": F.lit(False), "by_using": F.lit(False)}), allowMissingColumns=True)
     best = all_.withColumn("least", F.min("priority").over(Window.partitionBy("key"))).where("priority = least and type is not null").dropDuplicates(["key", "type"])
     n = F.count("*").over(Window.partitionBy("key"))
     rule = F.when(n > 1, "ambiguous").when(F.col("here"), "same_file").when(F.col("by_using") | (F.col("priority") == 0), "import_scope").otherwise("same_namespace")
-    return best.select("key", "type", rule.alias("rule"))
+    return best.select("key", "type", "to_symbol_id", rule.alias("rule"))
 
 
 def bases_closure(direct: DataFrame) -> DataFrame:
@@ -80,10 +81,8 @@ def bases_closure(direct: DataFrame) -> DataFrame:
 def members(facts, wanted: DataFrame, closure: DataFrame) -> DataFrame:
     """key, to_symbol_id: the member ``member`` of ``type``, or of the nearest bases that have it. ``wanted``: key, type, member, repo, own (0: bases only)."""
     near = wanted.where("own").select("key", "member", "repo", F.col("type").alias("base"), F.lit(0).alias("steps")).unionByName(wanted.join(closure, "type").where("base <> type").select("key", "member", "repo", "base", "steps"))
-    methods = facts.symbols.where("lang = 'csharp' and kind = 'method'").groupBy("qualified_name", F.col("repo").alias("m_repo")).agg(F.min("symbol_id").alias("id"))
-    hits = near.withColumn("qualified_name", F.concat_ws(".", "base", "member")).join(methods, "qualified_name")
-    own = F.min(F.when(F.col("m_repo") == F.col("repo"), F.col("id")))
-    per = hits.groupBy("key", "qualified_name", "steps").agg(F.coalesce(own, F.min("id")).alias("to_symbol_id"))
+    asked = near.withColumns({"qualified": F.concat_ws(".", "base", "member"), "lang": F.lit("csharp")})
+    per = lookup(asked, facts.symbols, ["key", "steps"], ("method",))
     return per.withColumn("least", F.min("steps").over(Window.partitionBy("key"))).where("steps = least").select("key", "to_symbol_id").distinct()
 
 
@@ -93,7 +92,6 @@ def csharp_edges(facts, by_name: Callable) -> tuple[DataFrame, DataFrame]:
     owner = F.when(F.col("from_kind").isin(*TYPES), F.col("from_qualified")).when(F.col("from_kind") == "method", F.regexp_extract("from_qualified", r"(?s)\A(.*)\.[^.]+\z", 1))
     r = r.withColumn("enclosing", F.coalesce(owner, F.when(F.col("from_kind") == "module", F.col("from_qualified"))))
     s = facts.symbols
-    first = s.where(F.col("kind").isin(*TYPES) & (F.col("lang") == "csharp")).groupBy(F.col("qualified_name").alias("type")).agg(F.min("symbol_id").alias("to_symbol_id"))
 
     def types_of(refs: DataFrame, enclosing: Column) -> DataFrame:
         return resolve_types(facts, refs.select(F.col("ref_id").alias("key"), "file_id", "repo", F.col("to_name").alias("name"), enclosing.alias("enclosing"))).withColumnRenamed("key", "ref_id")
@@ -105,7 +103,7 @@ def csharp_edges(facts, by_name: Callable) -> tuple[DataFrame, DataFrame]:
     inherit = cut(types_of(r.where("kind = 'inherit'"), outer), "bases")
     closure = cut(bases_closure(r.select("ref_id", F.col("from_qualified").alias("type")).join(inherit.select("ref_id", F.col("type").alias("base")), "ref_id").select("type", "base")), "closure")
     made = types_of(r.where("kind = 'instantiate'"), F.col("enclosing"))
-    rows = [count(x.join(first, "type"), 0) for x in (inherit, made)]
+    rows = [count(x, 0) for x in (inherit, made)]
     guess_types = by_name(r.where(F.col("kind").isin("inherit", "instantiate")).select("ref_id", F.element_at(F.split("to_name", r"\."), -1).alias("to_name"), "repo", "lang"), s, TYPES)
     rows.append(guess_types.select("ref_id", F.lit(9).alias("rank"), "to_symbol_id", "rule", "candidates"))
 
@@ -153,7 +151,9 @@ def csharp_edges(facts, by_name: Callable) -> tuple[DataFrame, DataFrame]:
     best = all_.withColumn("least", F.min("rank").over(Window.partitionBy("ref_id"))).where("rank = least and to_symbol_id is not null").drop("rank", "least")
 
     sent = r.where("kind = 'queue_const'").withColumn("member", F.element_at(F.split("to_name", r"\."), -1)).withColumn("holder", F.regexp_extract("to_name", r"(?s)\A(.*)\.[^.]+\z", 1))
-    t = resolve_types(facts, sent.where("holder <> ''").select(F.col("ref_id").alias("key"), "file_id", "repo", F.col("holder").alias("name"), "enclosing")).select(F.col("key").alias("ref_id"), "type")
-    values = facts.consts.groupBy("qualified_name").agg(F.min_by("value", "id").alias("value"))
-    constants = sent.join(t, "ref_id").withColumn("qualified_name", F.concat_ws(".", "type", "member")).join(values, "qualified_name").select("ref_id", "value").distinct()
+    t = resolve_types(facts, sent.where("holder <> ''").select(F.col("ref_id").alias("key"), "file_id", "repo", F.col("holder").alias("name"), "enclosing")).select(F.col("key").alias("ref_id"), "type", "to_symbol_id")
+    # the constant of the type's own repository
+    of_type = facts.symbols.select(F.col("symbol_id").alias("to_symbol_id"), F.col("repo").alias("c_repo"))
+    values = facts.consts.groupBy(F.col("repo").alias("c_repo"), "qualified_name").agg(F.min_by("value", "id").alias("value"))
+    constants = sent.join(t, "ref_id").join(of_type, "to_symbol_id").withColumn("qualified_name", F.concat_ws(".", "type", "member")).join(values, ["c_repo", "qualified_name"]).select("ref_id", "value").distinct()
     return cut(best, "csharp"), constants

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeatlas.operators import csharp_rules
+from edgeatlas.operators.lookup import lookup
 from edgeatlas.schemas import MAX_CANDIDATES, RULES
 from edgeatlas.session import cut
 
@@ -71,14 +72,6 @@ def by_name(refs: DataFrame, symbols: DataFrame, kinds: tuple[str, ...] | None =
     return kept.select("ref_id", "to_symbol_id", rule.alias("rule"), F.when(F.col("n_same") > 0, F.col("n_same")).otherwise(F.col("total")).cast("int").alias("candidates"))
 
 
-def lookup(wanted: DataFrame, symbols: DataFrame, keys: list[str]) -> DataFrame:
-    """The keys and to_symbol_id. ``wanted``: keys, qualified, repo, lang; ids order symbols, so the least is the first."""
-    s = symbols.groupBy("lang", F.col("qualified_name").alias("qualified"), F.col("repo").alias("to_repo")).agg(F.min("symbol_id").alias("first"), F.count("*").alias("n"))
-    j = wanted.join(s, ["lang", "qualified"])
-    g = j.groupBy(*keys).agg(F.min(F.when(F.col("to_repo") == F.col("repo"), F.col("first"))).alias("own"), F.min("first").alias("any"), F.sum("n").alias("n"))
-    return g.withColumn("to_symbol_id", F.coalesce("own", F.when(F.col("n") == 1, F.col("any")))).where("to_symbol_id is not null").select(*keys, "to_symbol_id")
-
-
 class Facts:
     """The fact tables, denormalised: symbols, refs (with their source symbol) and imports carry repo, lang, module and file."""
 
@@ -103,16 +96,30 @@ def _small(df: DataFrame, rows: int = 100_000) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def _first_star(facts: Facts, starred: DataFrame, keys: list[str]) -> DataFrame:
+    """``starred`` (keys, name, repo, lang, id, target: the star imports of one file a row) with the first target that has ``name``, else the first."""
+    defined = lookup(starred.select(*keys, "id", F.concat_ws(".", "target", "name").alias("qualified"), "repo", "lang"), facts.symbols, [*keys, "id"])
+    j = starred.join(defined.select(*keys, "id", F.lit(True).alias("defines")), [*keys, "id"], "left")
+    return j.groupBy(*keys).agg(F.min_by("target", F.struct(F.col("defines").isNull(), "id")).alias("target"))
+
+
 def follow(facts: Facts, wanted: DataFrame, keys: list[str]) -> DataFrame:
-    """``lookup``, and for what it misses up to ``HOPS`` re-exports: the deepest module prefix whose file imports the next part, or stars."""
-    modules = facts.files.where("module is not null and lang = 'python'").select("module", "file_id", F.col("repo").alias("m_repo"))
-    named = facts.import_map.join(modules, "file_id").select("module", "m_repo", "file_id", F.col("local_name").alias("part"), "target")
-    stars = facts.imports.where("local_name = '*' and lang = 'python'").select("module", F.col("repo").alias("m_repo"), "file_id", "id", "target")
-    own = facts.symbols.select(F.col("qualified_name").alias("defined")).distinct()
+    """``lookup``, and for what it misses up to ``HOPS`` re-exports: the deepest module prefix whose file imports the next part, or stars.
+
+    Where the reference's repository has a module, only its files may re-export from it; else the first file of any repository that does. Files
+    go by their ids, and a file's imports by name come before its star imports.
+    """
+    modules = facts.files.where("module is not null and lang = 'python'").select("module", "file_id", "repo")
+    named = facts.import_map.join(modules, "file_id").select("repo", "module", "file_id", F.col("local_name").alias("part"), "target")
+    starred = facts.imports.where("local_name = '*' and lang = 'python' and module is not null").groupBy("repo", "module", "file_id").agg(F.collect_list(F.struct("id", "target")).alias("stars"))
+    least = lambda df, by, value: df.groupBy(*by).agg(F.min("file_id").alias("file_id"), F.min_by(value, "file_id").alias(value))
+    # per repository and over all: one row a name, one file's star imports a module, whatever the number of repositories
+    tables = [(["repo", "module"], least(named, ["repo", "module", "part"], "target"), least(starred, ["repo", "module"], "stars")), (["module"], least(named, ["module", "part"], "target"), least(starred, ["module"], "stars"))]
+    has = modules.select("repo", "module").distinct().withColumn("has", F.lit(True))
     found = None
     at = wanted
     for hop in range(HOPS + 1):
-        hit = cut(lookup(at, facts.symbols, keys), "lookup")
+        hit = cut(lookup(at, facts.symbols, keys).drop("to_file"), "lookup")
         found = hit if found is None else found.unionByName(hit)
         if hop == HOPS:
             break
@@ -120,12 +127,17 @@ def follow(facts: Facts, wanted: DataFrame, keys: list[str]) -> DataFrame:
         parts = F.split("qualified", r"\.")
         cutting = missed.withColumn("k", F.explode(F.sequence(F.lit(1), F.size(parts) - 1))).where(F.size(parts) > 1)
         cutting = cutting.withColumn("module", F.array_join(F.slice(parts, 1, F.col("k")), ".")).withColumn("part", F.get(parts, F.col("k"))).withColumn("rest", F.array_join(F.slice(parts, F.col("k") + 2, F.size(parts)), "."))
+        cutting = cut(cutting.join(has, ["repo", "module"], "left").drop("qualified"), "prefixes")
         onward = lambda base: F.concat_ws(".", base, F.when(F.col("rest") != "", F.col("rest")))
-        a = cutting.join(named, ["module", "part"]).select(*keys, "repo", "lang", "k", "m_repo", "file_id", F.lit(0).alias("star"), F.lit(0).cast("long").alias("id"), onward(F.col("target")).alias("next"))
-        b = cutting.where(~F.col("part").startswith("_")).join(stars, "module").withColumn("defined", F.concat_ws(".", "target", "part")).join(own.withColumn("is_defined", F.lit(True)), "defined", "left")
-        b = b.select(*keys, "repo", "lang", "k", "m_repo", "file_id", F.when(F.col("is_defined"), 1).otherwise(2).alias("star"), "id", onward(F.concat_ws(".", "target", "part")).alias("next"))
-        order = Window.partitionBy(*keys).orderBy(F.desc("k"), (F.col("m_repo") == F.col("repo")).desc(), "star", "file_id", "id")
-        at = cut(a.unionByName(b).withColumn("n", F.row_number().over(order)).where("n = 1").select(*keys, "repo", "lang", F.col("next").alias("qualified")), "hops")
+        ways = []
+        for (by, names, stars), mine in zip(tables, (cutting.where("has"), cutting.where("has is null")), strict=True):
+            ways.append(mine.join(names, [*by, "part"]).select(*keys, "repo", "lang", "k", "file_id", F.lit(0).alias("star"), onward(F.col("target")).alias("next")))
+            s = mine.where(~F.col("part").startswith("_")).join(stars, by)
+            first = _first_star(facts, s.select(*keys, "k", F.col("part").alias("name"), "repo", "lang", F.inline("stars")), [*keys, "k"])
+            ways.append(s.join(first, [*keys, "k"]).select(*keys, "repo", "lang", "k", "file_id", F.lit(1).alias("star"), onward(F.concat_ws(".", "target", "part")).alias("next")))
+        all_ = ways[0].unionByName(ways[1]).unionByName(ways[2]).unionByName(ways[3])
+        best = all_.groupBy(*keys, "repo", "lang").agg(F.min_by("next", F.struct(-F.col("k"), "file_id", "star")).alias("qualified"))
+        at = cut(best, "hops")
         if at.isEmpty():
             break
     return found
@@ -151,11 +163,9 @@ def python_edges(facts: Facts) -> DataFrame:
     bound = bound.select("ref_id", F.lit("bound").alias("how"), F.concat_ws(".", "target", F.when(F.col("rest") != "", F.col("rest"))).alias("qualified"), "repo", "lang")
     stop = bound.select("ref_id", F.lit(3).alias("rank"), F.lit(None).cast("long").alias("to_symbol_id"), F.lit(None).cast("string").alias("rule"), F.lit(0).alias("candidates"))
     # star imports of the file: the first that defines the name, else the first
-    stars = facts.imports.where("local_name = '*'").select("file_id", "id", "target")
-    defined = facts.symbols.select(F.col("qualified_name").alias("defined")).distinct().withColumn("is_defined", F.lit(True))
-    st = calls.where(plain & ~F.col("head").startswith("_")).join(stars, "file_id").withColumn("defined", F.concat_ws(".", "target", "head")).join(defined, "defined", "left")
-    st = st.withColumn("n", F.row_number().over(Window.partitionBy("ref_id").orderBy(F.col("is_defined").asc_nulls_last(), "id"))).where("n = 1")
-    starred = st.select("ref_id", F.lit("star").alias("how"), F.concat_ws(".", "target", "to_name").alias("qualified"), "repo", "lang")
+    st = calls.where(plain & ~F.col("head").startswith("_")).join(facts.imports.where("local_name = '*'").select("file_id", "id", "target"), "file_id")
+    first = _first_star(facts, st.select("ref_id", F.col("head").alias("name"), "repo", "lang", "id", "target"), ["ref_id"])
+    starred = calls.join(first, "ref_id").select("ref_id", F.lit("star").alias("how"), F.concat_ws(".", "target", "to_name").alias("qualified"), "repo", "lang")
     followed = follow(facts, imported.unionByName(bound).unionByName(starred), ["ref_id", "how"])
     rank = F.when(F.col("how") == "bound", 2).otherwise(4)
     scoped = followed.where("how <> 'import'").select("ref_id", rank.alias("rank"), "to_symbol_id", F.lit("import_scope").alias("rule"), F.lit(1).alias("candidates"))

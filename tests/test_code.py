@@ -62,6 +62,55 @@ def small(spark):
     return {(r["from_name"], r["to_name"], r["rule"]) for r in fx.named_edges(spark, t).where(F.col("kind") != "import").collect()}
 
 
+#: The same names in several repositories, resolved together.
+ACROSS = {
+    "r1": {"pkg/__init__.py": "x = 1\n", "use1.py": "from pkg import work\ndef f():\n    work()\n"},
+    "r2": {"pkg/__init__.py": "from .impl import work\n", "pkg/impl.py": "def work(): pass\n", "use2.py": "from pkg import work\ndef g():\n    work()\n"},
+    "r3": {"use3.py": "from pkg import work\ndef h():\n    work()\n"},
+    "s1": {"lib/__init__.py": "from .one import *\nfrom .two import *\n", "lib/one.py": "def other(): pass\n", "lib/two.py": "def starry(): pass\n", "uses.py": "from lib import starry\ndef k():\n    starry()\n"},
+    "s2": {"lib2/one.py": "def starry(): pass\n"},
+    "aaa": {"O.cs": "namespace Shop;\npublic class Order { public void Pay() { } }\npublic static class Jobs { public static void Go() { } }\n"},
+    "bbb": {
+        "O.cs": "namespace Shop;\npublic class Order { public void Pay() { } }\n",
+        "U.cs": "namespace Shop;\npublic class User { Order held; void Make() { var o = new Order(); held.Pay(); Jobs.Go(); } }\n",
+    },
+    "ccc": {"V.cs": "using Shop;\nnamespace Desk;\npublic class Clerk { void Make() { var o = new Order(); } void Run() { Jobs.Go(); } }\n"},
+}
+
+
+@pytest.fixture(scope="module")
+def across(spark):
+    from edgeatlas.operators.resolve import resolve
+
+    t = fx.tables(spark, ACROSS)
+    where = t["symbols"].join(t["files"].select(F.col("id").alias("file_id"), "repo_id"), "file_id").join(t["repos"].select(F.col("id").alias("repo_id"), F.col("name").alias("repo")), "repo_id")
+    s = where.select("id", F.concat_ws(":", "repo", "qualified_name").alias("n"))
+    e = resolve(t).where("kind <> 'import'")
+    return {(r.f, r.t, r.rule) for r in e.join(s.toDF("from_symbol_id", "f"), "from_symbol_id").join(s.toDF("to_symbol_id", "t"), "to_symbol_id").collect()}
+
+
+def test_own_modules_alone_re_export(across):
+    """r1 has a pkg without work, so nothing of r2 answers for it; r3 has none, so r2's does."""
+    assert of(across, "r1:") == set()
+    assert of(across, "r2:use2") == {("r2:use2.g", "r2:pkg.impl.work", "import_scope")}
+    assert of(across, "r3:") == {("r3:use3.h", "r2:pkg.impl.work", "import_scope")}
+
+
+def test_the_star_import_that_defines_the_name(across):
+    assert of(across, "s1:uses") == {("s1:uses.k", "s1:lib.two.starry", "import_scope")}
+
+
+def test_types_of_the_own_repository_first(across):
+    assert of(across, "bbb:") == {
+        ("bbb:Shop.User.Make", "bbb:Shop.Order", "same_namespace"), ("bbb:Shop.User.Make", "bbb:Shop.Order.Pay", "declared_type"), ("bbb:Shop.User.Make", "aaa:Shop.Jobs.Go", "same_namespace"),
+    }
+
+
+def test_types_of_several_other_repositories_are_not_taken(across):
+    """Order is declared twice elsewhere: what is left is a guess by name. Jobs is declared once."""
+    assert of(across, "ccc:") == {("ccc:Desk.Clerk.Make", "aaa:Shop.Order", "ambiguous"), ("ccc:Desk.Clerk.Make", "bbb:Shop.Order", "ambiguous"), ("ccc:Desk.Clerk.Run", "aaa:Shop.Jobs.Go", "import_scope")}
+
+
 def of(small, prefix):
     return {e for e in small if e[0].startswith(prefix)}
 
