@@ -36,7 +36,7 @@ class Engine:
             s = t("symbols").withColumnRenamed("id", "symbol_id").withColumn("line", F.col("line_start")).join(files, "file_id")
             name = s.select(F.col("symbol_id").alias("from_id"), F.col("qualified_name").alias("from_name"))
             refs = t("refs").select(F.col("id").alias("ref_id"), "file_id", "line", "note").join(files.select("file_id", "repo", "path"), "file_id")
-            e = t("edges").withColumnsRenamed({"from_symbol_id": "from_id", "to_symbol_id": "to_id"}).join(refs, "ref_id").join(name, "from_id").join(name.withColumnsRenamed({"from_id": "to_id", "from_name": "to_name"}), "to_id")
+            e = t("edges").drop("file_id").withColumnsRenamed({"from_symbol_id": "from_id", "to_symbol_id": "to_id"}).join(refs, "ref_id").join(name, "from_id").join(name.withColumnsRenamed({"from_id": "to_id", "from_name": "to_name"}), "to_id")
             self.kept = (at, s.cache(), e.cache())
         return self.kept[1], self.kept[2]
 

@@ -1,15 +1,14 @@
-"""The index: facts per file, tables with ids, edges, kept as snapshots that one pointer names.
+"""The index: facts per file and edges, in versions of a fragment store; the other fact tables are views of the facts.
 
-Only files whose content hash is new are extracted; the facts of the others are carried over. Ids follow (repo, path, position), so an
-index built in steps equals one built at once. A snapshot is written whole, then the pointer moves.
+Only files whose content hash is new are extracted, and only the fragments that hold them are written again; edges are resolved anew and
+written where a fragment of them differs. A file keeps its id while it lives, and its facts' ids follow it, so what did not change
+has the same rows. Nothing of a deleted file is left once older versions are gone, by default with the commit.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import json
-import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,12 +20,14 @@ from edgeatlas.functions import secrets
 from edgeatlas.functions.names import normalize_key
 from edgeatlas.operators.resolve import BUILTINS, COMMON, CSHARP_COMMON, resolve
 from edgeatlas.plans.envelope import ToolError
+from edgeatlas.plans.fragments import FragmentStore
 from edgeatlas.plans.snapshot import diff
 from edgeatlas.session import cut
 from edgeatlas.sources import repos as R
 
 PER_FILE = 1 << 20  # ids of a file's facts; more than a file of the largest size can have
-POINTER = "_CURRENT"
+#: Files that a bucket of facts is meant for.
+BUCKET_FILES = 4096
 
 
 def resolver_fingerprint() -> str:
@@ -45,69 +46,76 @@ def clean_facts(facts: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     return out.select("repo", "path", "lang", "content_hash", "loc", "parse_error", "module", *[F.from_json(k, ddl[k]).alias(k) for k in LISTS])
 
 
-def tables_of(facts: DataFrame, repo_rows: list[tuple[str, str, str]], now: dt.datetime) -> dict[str, DataFrame]:
-    """The fact tables with ids. Files rank within their repository, repositories by name; a file's facts follow its id."""
-    spark = facts.sparkSession
-    repos = spark.createDataFrame([(i, n, p, s, now) for i, (n, p, s) in enumerate(sorted(repo_rows), 1)], schemas.TABLES["repos"])
-    per = facts.groupBy("repo").agg(F.count("*").alias("n"))
-    base = per.select("repo", (F.coalesce(F.sum("n").over(Window.orderBy("repo").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("base"))  # a row per repository
+def numbered(files: DataFrame, after: int = 0) -> DataFrame:
+    """``files`` (repo, path) with file_id: from ``after`` on, by repository and path."""
+    per = files.groupBy("repo").agg(F.count("*").alias("n"))
+    base = per.select("repo", (F.coalesce(F.sum("n").over(Window.orderBy("repo").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + after).alias("base"))  # a row per repository
     rank = F.row_number().over(Window.partitionBy("repo").orderBy("path"))
-    f = facts.withColumn("rank", rank).join(base, "repo").withColumn("file_id", F.col("base") + F.col("rank")).join(repos.select(F.col("id").alias("repo_id"), F.col("name").alias("repo")), "repo")
-    f = cut(f, "facts")
+    return files.withColumn("rank", rank).join(base, "repo").withColumn("file_id", F.col("base") + F.col("rank")).drop("rank", "base")
+
+
+def repo_table(spark: SparkSession, repo_rows: list[tuple[str, str, str]], now: dt.datetime) -> DataFrame:
+    return spark.createDataFrame([(i, n, p, s, now) for i, (n, p, s) in enumerate(sorted(repo_rows), 1)], schemas.TABLES["repos"])
+
+
+def views_of(facts: DataFrame, repos: DataFrame) -> dict[str, DataFrame]:
+    """The fact tables, read from the facts of each file: a scan of what each table needs."""
+    f = facts.join(repos.select(F.col("id").alias("repo_id"), F.col("name").alias("repo")), "repo")
     out = {"repos": repos, "files": f.select(F.col("file_id").alias("id"), "repo_id", "path", "lang", "content_hash", "loc", "parse_error", "module")}
     for k in LISTS:
-        x = f.select("file_id", F.posexplode(k).alias("pos", "x")).select((F.col("file_id") * PER_FILE + F.col("pos")).alias("id"), "file_id", "x.*")
+        x = facts.select("file_id", F.posexplode(k).alias("pos", "x")).select((F.col("file_id") * PER_FILE + F.col("pos")).alias("id"), "file_id", "x.*")
         if k == "config_keys":
             x = x.withColumn("key_norm", normalize_key(F.col("key_path")))
         out[k] = x.select(*[c.split()[0] for c in schemas.TABLES[k].split(", ")])
     return out
 
 
+def tables_of(facts: DataFrame, repo_rows: list[tuple[str, str, str]], now: dt.datetime) -> dict[str, DataFrame]:
+    """The fact tables of facts that no catalog keeps."""
+    return views_of(cut(numbered(facts), "facts"), repo_table(facts.sparkSession, repo_rows, now))
+
+
 class Catalog:
-    """A folder of snapshots; readers follow the pointer and never see half of one."""
+    """A fragment store with the index; the folder is any that Spark reads and writes. Readers take the last version."""
 
-    def __init__(self, spark: SparkSession, folder: str | Path):
-        self.spark, self.folder = spark, Path(folder)
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.store = spark, FragmentStore(spark, str(folder))
 
-    def current(self) -> Path | None:
-        p = self.folder / POINTER
-        if not p.exists():
+    def current(self) -> int | None:
+        at = self.store.manifest()
+        if at is None:
             return None
-        at = json.loads(p.read_text())
         if at["schema_version"] > schemas.SCHEMA_VERSION:
             raise ToolError("not_indexed", "the index was written by a newer version", "upgrade, or index again")
-        return self.folder / at["snapshot"]
+        return at["version"]
 
     def table(self, name: str) -> DataFrame:
-        at = self.current()
-        if at is None:
+        version = self.current()
+        if version is None:
             raise ToolError("not_indexed", "there is no index here", "index a folder first")
-        return self.spark.read.parquet(str(at / name))
+        at = self.store.manifest(version)
+        read = lambda n: self.store.read(n, at)
+        return read(name) if name in at["tables"] else views_of(read("facts"), read("repos"))[name]
 
     def meta(self) -> dict[str, str]:
         return {r["key"]: r["value"] for r in self.table("meta").collect()}
 
-    def write(self, tables: dict[str, DataFrame]) -> Path:
-        at = self.folder / f"snapshot-{uuid.uuid4().hex}"
-        for name, df in tables.items():
-            df.write.parquet(str(at / name))
-        new = self.folder / (POINTER + ".new")
-        new.write_text(json.dumps({"snapshot": at.name, "schema_version": schemas.SCHEMA_VERSION}))
-        new.replace(self.folder / POINTER)
-        return at
-
 
-def build(spark: SparkSession, catalog: Catalog, files: DataFrame, repo_rows: list[tuple[str, str, str]], extra: tuple[str, ...] = (), now: dt.datetime | None = None, keep: tuple[str, ...] = ()) -> dict[str, int]:
+def build(spark: SparkSession, catalog: Catalog, files: DataFrame, repo_rows: list[tuple[str, str, str]], extra: tuple[str, ...] = (), now: dt.datetime | None = None, keep: tuple[str, ...] = (), versions: int = 1) -> dict[str, int]:
     """Bring the catalog to ``files`` (repo, path, lang, content, content_hash). Returns counts of added, changed, removed and same files.
 
-    Repositories in ``keep``, and projects below them, stay as they were: their scan failed.
+    Repositories in ``keep``, and projects below them, stay as they were: their scan failed. The last ``versions`` are kept. Where another
+    writer commits first, ``Conflict`` is raised and nothing has changed.
     """
     now = now or dt.datetime.now(dt.UTC).replace(tzinfo=None)
     fingerprint = resolver_fingerprint() + "/" + secrets.fingerprint(extra)
+    store = catalog.store
     keyed = files.withColumn("raw_path", F.col("path"))
-    old = None
-    if catalog.current() is not None and catalog.meta().get("fingerprint", "").endswith(secrets.fingerprint(extra)):
-        old = catalog.table("facts")
+    old, meta = None, {}
+    if catalog.current() is not None:
+        meta = catalog.meta()
+        if meta.get("fingerprint", "").endswith(secrets.fingerprint(extra)):
+            old = catalog.table("facts")
     keys = ["repo", "raw_path"]
     new_hashes = keyed.select(*keys, "content_hash")
     old_hashes = old.select(*keys, "content_hash") if old is not None else new_hashes.limit(0)
@@ -121,25 +129,40 @@ def build(spark: SparkSession, catalog: Catalog, files: DataFrame, repo_rows: li
         repo_rows = [*repo_rows, *((r["repo"], r["path"], r["head_sha"]) for r in before if r["repo"] not in have)]
     state = cut(diff(old_hashes, new_hashes, keys), "diff")
     counts = {r["state"]: r["count"] for r in state.groupBy("state").count().collect()}
+    manifest = store.start(max(16, 1 << (sum(counts.values()) // BUCKET_FILES).bit_length()), schema_version=schemas.SCHEMA_VERSION)
+    if old is None:
+        manifest["tables"] = {}
     fresh = keyed.join(state.where(F.col("state").isin("added", "changed")), keys, "left_semi")
     got = clean_facts(extract(fresh.drop("raw_path")), extra)
     raw = secrets.mapped(secrets.sanitize_path, "string")
-    got = got.join(fresh.select("repo", raw("path").alias("path"), "raw_path"), ["repo", "path"])
-    kept = old.join(state.where("state = 'same'"), keys, "left_semi") if old is not None else None
-    facts = cut(got.unionByName(kept) if kept is not None else got, "all-facts")
-    tables = tables_of(facts.drop("raw_path"), repo_rows, now)
-    same = old is not None and counts.get("same", 0) == sum(counts.values()) and catalog.meta().get("fingerprint") == fingerprint
-    tables["edges"] = catalog.table("edges") if same else resolve(tables)
+    got = cut(got.join(fresh.select("repo", raw("path").alias("path"), "raw_path"), ["repo", "path"]), "fresh")
+    # a changed file keeps its id; new ones follow the highest there was
+    last = int(meta.get("last_file_id", 0)) if old is not None else 0
+    if old is not None:
+        known = old.select(*keys, "file_id").join(state.where("state = 'changed'"), keys, "left_semi")
+        rows = got.join(known.select(*keys, "file_id"), keys).unionByName(numbered(got.join(known, keys, "left_anti"), last))
+    else:
+        rows = numbered(got)
+    gone = state.where(F.col("state").isin("removed", "changed")).select(*keys)
+    written = store.upsert(manifest, "facts", cut(rows, "rows"), gone, keys)
+    facts = store.read("facts", manifest)
+    repos = repo_table(spark, repo_rows, now)
+    same = old is not None and counts.get("same", 0) == sum(counts.values()) and meta.get("fingerprint") == fingerprint
+    if not same:
+        edges = cut(resolve(views_of(facts, repos)).withColumn("file_id", F.expr(f"ref_id div {PER_FILE}")), "edges")
+        written += store.replace(manifest, "edges", edges, ["file_id"])
     run = [(1, now, dt.datetime.now(dt.UTC).replace(tzinfo=None), {n: s for n, _, s in repo_rows}, {k: int(v) for k, v in counts.items()}, facts.where("parse_error").count(), None)]
-    tables["index_runs"] = spark.createDataFrame(run, schemas.TABLES["index_runs"])
+    runs = spark.createDataFrame(run, schemas.TABLES["index_runs"])
     if old is not None:
         before = catalog.table("index_runs")
-        last = before.agg(F.max("id")).first()[0] or 0
-        tables["index_runs"] = before.unionByName(tables["index_runs"].withColumn("id", F.col("id") + last))
-    tables["facts"] = facts
-    tables["overrides"] = spark.createDataFrame([], schemas.TABLES["overrides"])
-    tables["meta"] = spark.createDataFrame([("schema_version", schemas.SCHEMA_VERSION), ("fingerprint", fingerprint)], schemas.TABLES["meta"])
-    catalog.write(tables)
+        runs = before.unionByName(runs.withColumn("id", F.col("id") + (before.agg(F.max("id")).first()[0] or 0)))
+    top = facts.agg(F.max("file_id")).first()[0] or 0
+    small = {"repos": repos, "index_runs": runs, "overrides": spark.createDataFrame([], schemas.TABLES["overrides"])}
+    small["meta"] = spark.createDataFrame([("schema_version", schemas.SCHEMA_VERSION), ("fingerprint", fingerprint), ("last_file_id", str(max(last, top))), ("fragments_written", str(written))], schemas.TABLES["meta"])
+    for name, df in small.items():
+        store.replace(manifest, name, df.coalesce(1))
+    store.commit(manifest)
+    store.retain(versions)
     return counts
 
 

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from edgeatlas.functions import names, secrets
 from edgeatlas.operators import config_keys, evaluation, graph, overview, symbols as sym
+from edgeatlas.operators.lookup import lookup
+from edgeatlas.plans.fragments import FragmentStore
 from edgeatlas.plans.snapshot import diff
+from edgeatlas.session import scratch
 from edgeatlas.sources import audit, warehouse as wh
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -311,6 +314,34 @@ def content_groups(spark, d):
     return g.where("n > 1")
 
 
+@query("document_versions", "WITH old AS (SELECT doc_id, sha256(COALESCE(text, '')) AS before FROM documents WHERE doc_id % 10 <> 3), new AS (SELECT doc_id, sha256(COALESCE(text, '') || CASE WHEN doc_id % 100 = 7 THEN '!' ELSE '' END) AS after FROM documents WHERE doc_id % 10 <> 4) SELECT doc_id, before, after FROM old FULL JOIN new USING (doc_id)")
+def document_versions(spark, d):
+    """Documents as two versions of a fragment store: the second takes rows out, changes some and puts some in."""
+    t = wh.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    store = FragmentStore(spark, scratch(spark, "document-versions"))
+    m = store.start()
+    store.upsert(m, "documents", t.where("doc_id % 10 <> 3"), t.limit(0), ["doc_id"])
+    first = store.commit(m)
+    m = store.start()
+    edited = t.where("doc_id % 100 = 7").withColumn("text", F.concat("text", F.lit("!")))
+    store.upsert(m, "documents", edited.unionByName(t.where("doc_id % 10 = 3")), t.where("doc_id % 10 = 4"), ["doc_id"])
+    second = store.commit(m)
+    old, new = (store.read("documents", store.manifest(v)).select("doc_id", F.sha2("text", 256).alias(c)) for v, c in ((first, "before"), (second, "after")))
+    return old.join(new, "doc_id", "full").select("doc_id", "before", "after")
+
+
+@query(
+    "lookup_across",
+    "WITH s AS (SELECT c_custkey AS symbol_id, c_custkey // 3 AS q, c_nationkey % 5 AS repo FROM customer), own AS (SELECT repo, q, MIN(symbol_id) AS id FROM s GROUP BY ALL), one AS (SELECT q, MIN(symbol_id) AS id FROM s GROUP BY q HAVING COUNT(*) = 1) SELECT o_orderkey AS ref_id, COALESCE(own.id, one.id) AS to_symbol_id FROM orders LEFT JOIN own ON own.q = o_custkey // 3 AND own.repo = o_orderkey % 5 LEFT JOIN one ON one.q = o_custkey // 3 WHERE COALESCE(own.id, one.id) IS NOT NULL",
+)
+def lookup_across(spark, d):
+    """Customers as symbols of five repositories, orders as references: the own repository's symbol, else the only one."""
+    name = lambda c: F.expr(f"concat('customer:', {c} div 3)")
+    syms = wh.table(spark, d, "customer").select(F.col("c_custkey").alias("symbol_id"), F.col("c_nationkey").alias("file_id"), name("c_custkey").alias("qualified_name"), (F.col("c_nationkey") % 5).cast("string").alias("repo"), F.lit("python").alias("lang"), F.lit("function").alias("kind"))
+    refs = wh.table(spark, d, "orders").select(F.col("o_orderkey").alias("ref_id"), name("o_custkey").alias("qualified"), (F.col("o_orderkey") % 5).cast("string").alias("repo"), F.lit("python").alias("lang"))
+    return lookup(refs, syms, ["ref_id"]).drop("to_file")
+
+
 # ---- evaluation
 
 _EVAL = "q AS (SELECT lang, source, list(doc_id ORDER BY doc_id) FILTER (WHERE quality = 0) AS e, list(doc_id ORDER BY doc_id) FILTER (WHERE toxic = 1 OR quality = 0 AND doc_id % 2 = 0) AS a FROM documents JOIN labels USING (doc_id) GROUP BY lang, source), n AS (SELECT lang, len(COALESCE(e, [])) AS ne, len(COALESCE(a, [])) AS na, len(list_intersect(COALESCE(e, []), COALESCE(a, []))) AS h FROM q), s AS (SELECT lang, CASE WHEN ne = 0 AND na = 0 THEN 1.0 WHEN na = 0 THEN 0.0 ELSE CAST(h AS DOUBLE) / na END AS p, CASE WHEN ne = 0 AND na = 0 THEN 1.0 WHEN ne = 0 THEN 0.0 ELSE CAST(h AS DOUBLE) / ne END AS r, CASE WHEN ne = 0 AND na = 0 THEN 1.0 WHEN h = 0 THEN 0.0 ELSE 2.0 * h / (ne + na) END AS f FROM n)"

@@ -80,6 +80,17 @@ def test_steps_equal_all_at_once(spark, built, tmp_path):
     ix.index_root(spark, fresh, str(root))
     assert names(Engine(spark, str(store))) == names(Engine(spark, str(tmp_path / "fresh")))
     assert ix.Catalog(spark, store).table("index_runs").count() == 3
+    (root / "ledger/src/ledger/news.py").write_text("def renamed_sale(items):\n    return items\n")
+    subprocess.run(["git", "-c", "user.name=t", "-c", "user.email=t@example.invalid", "-C", str(root / "ledger"), "commit", "-qam", "y"], check=True, capture_output=True)
+    before = catalog.store.manifest()["tables"]["facts"]["fragments"]
+    ix.index_root(spark, catalog, str(root))
+    after = catalog.store.manifest()["tables"]["facts"]["fragments"]
+    assert set(before) == set(after) and sum(before[b] != after[b] for b in after) == 1, "one changed file rewrites its fragment"
+    names_left = {r.qualified_name for r in catalog.table("symbols").collect()}
+    assert "ledger.news.renamed_sale" in names_left and "ledger.news.announce_sale" not in names_left
+    assert len(catalog.store.versions()) == 1
+    folders = {p for t in catalog.store.manifest()["tables"].values() for p in t["fragments"].values()}
+    assert {str(p.parent.relative_to(store)) for p in store.rglob("part-*.parquet")} == folders, "no other file is left"
     (root / "carriers/.git").rename(root / "carriers/away")
     (root / "carriers/.git").mkdir()  # git can't read it now: its rows stay
     counts = ix.index_root(spark, catalog, str(root))
@@ -92,7 +103,8 @@ def test_no_index_and_newer_schema(spark, tmp_path):
     with pytest.raises(ToolError) as e:
         Engine(spark, str(tmp_path)).status()
     assert e.value.error == "not_indexed"
-    (tmp_path / ix.POINTER).write_text('{"snapshot": "x", "schema_version": "9"}')
+    store = ix.Catalog(spark, tmp_path).store
+    store.commit(store.start(schema_version="9"))
     with pytest.raises(ToolError):
         ix.Catalog(spark, tmp_path).table("files")
 
