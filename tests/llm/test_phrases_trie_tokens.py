@@ -210,6 +210,20 @@ def test_token_counts(spark, token_docs, tmp_path, name):
     assert Counter(tuple(r) for r in got.collect()) == want
 
 
+def test_quick_counts_are_the_librarys():
+    """Every character the quick encoder takes, in several surroundings."""
+    path = tokens.tokenizer_path()
+    count = tokens.counter(path)
+    chars = [chr(c) for c in [*range(0x250), *range(0x2000, 0x2070)]]
+    texts = [s.format(c) for c in chars for s in ("{0}", "a{0}b", " {0}{0} 1{0}2", "{0} x  {0}\n\n{0}", "'{0}s it'{0}", "  {0}\t {0}9")]
+    rng = random.Random(4)
+    texts += ["".join(rng.choices(chars, k=200)) for _ in range(500)] + ["z" * 20_000, " " * 20_000, "a" + " " * 1_000_000 + "b", "漢字 text", "a<|endoftext|>b", "\U0001f642"]
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    assert count(texts) == [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 @pytest.mark.parametrize("bound", [0, 1 << 18])
 def test_only_distinct_misses_are_encoded(spark, token_docs, tmp_path, monkeypatch, bound):
     monkeypatch.setattr(tokens, "BROADCAST_ROWS", bound)
