@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeatlas.operators import config_keys, graph, overview, symbols as sym
+from edgeatlas.operators.trigrams import candidates
 from edgeatlas.plans.envelope import Answer, HeadCache, ToolError, weakest, with_staleness
 from edgeatlas.plans.index import Catalog
 from edgeatlas.sources.repos import head_or_none
@@ -64,6 +65,9 @@ class Engine:
 
     def search_symbols(self, query: str, kind: str | None = None, repo: str | None = None, limit: int = 25) -> Answer:
         s, _ = self.views()
+        if len(query) >= 3:  # what the trigram index leaves, compared with the names as ever
+            needle = self.spark.createDataFrame([(query,)], "needle string")
+            s = s.join(candidates(self.catalog.postings_of(query), needle).select("symbol_id"), "symbol_id", "left_semi")
         rows = sym.search(s, query, kind, repo, limit).collect()
         pool = s.where(sym.matches(query))
         pool = pool.where(F.col("kind") == kind) if kind else pool

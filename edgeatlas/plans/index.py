@@ -19,6 +19,7 @@ from edgeatlas.extract.facts import LISTS
 from edgeatlas.functions import secrets
 from edgeatlas.functions.names import normalize_key
 from edgeatlas.operators.resolve import BUILTINS, COMMON, CSHARP_COMMON, resolve
+from edgeatlas.operators.trigrams import postings, trigrams
 from edgeatlas.plans.envelope import ToolError
 from edgeatlas.plans.fragments import FragmentStore
 from edgeatlas.plans.snapshot import diff
@@ -97,6 +98,13 @@ class Catalog:
         read = lambda n: self.store.read(n, at)
         return read(name) if name in at["tables"] else views_of(read("facts"), read("repos"))[name]
 
+    def postings_of(self, needle: str) -> DataFrame:
+        """The index's postings in the fragments that the needle's trigrams fall into, those trigrams alone."""
+        at = self.store.manifest(self.current())
+        own = self.spark.range(1).select(F.explode(trigrams(F.lit(needle))).alias("trigram"))
+        asked = own.select("trigram", self.store.bucket(at, ["trigram"]).alias("b")).collect()  # of one needle
+        return self.store.read("trigrams", at, {r["b"] for r in asked}).where(F.col("trigram").isin([r["trigram"] for r in asked]))
+
     def meta(self) -> dict[str, str]:
         return {r["key"]: r["value"] for r in self.table("meta").collect()}
 
@@ -151,6 +159,8 @@ def build(spark: SparkSession, catalog: Catalog, files: DataFrame, repo_rows: li
     if not same:
         edges = cut(resolve(views_of(facts, repos)).withColumn("file_id", F.expr(f"ref_id div {PER_FILE}")), "edges")
         written += store.replace(manifest, "edges", edges, ["file_id"])
+        names = store.read("facts", manifest).select("file_id", F.posexplode("symbols").alias("pos", "x")).select((F.col("file_id") * PER_FILE + F.col("pos")).alias("symbol_id"), "x.name", "x.qualified_name")
+        written += store.replace(manifest, "trigrams", cut(postings(names), "postings"), ["trigram"])
     run = [(1, now, dt.datetime.now(dt.UTC).replace(tzinfo=None), {n: s for n, _, s in repo_rows}, {k: int(v) for k, v in counts.items()}, facts.where("parse_error").count(), None)]
     runs = spark.createDataFrame(run, schemas.TABLES["index_runs"])
     if old is not None:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeatlas.functions import names, secrets
-from edgeatlas.operators import config_keys, evaluation, graph, overview, symbols as sym
+from edgeatlas.operators import config_keys, evaluation, graph, overview, symbols as sym, trigrams
 from edgeatlas.operators.lookup import lookup
 from edgeatlas.plans.fragments import FragmentStore
 from edgeatlas.plans.snapshot import diff
@@ -135,6 +135,22 @@ def search_total(spark, d):
     return sym.search_total(wh.symbols(spark, d), "order")
 
 
+@query("search_indexed", SQL["search_symbols"])
+def search_indexed(spark, d):
+    """``search_symbols`` through the trigram index."""
+    s = wh.symbols(spark, d)
+    needle = spark.createDataFrame([("red",)], "needle string")
+    return sym.search(trigrams.find(trigrams.postings(s), s, needle).drop("needle").select(*s.columns), "red")
+
+
+@query("search_batch", f"WITH {wh.SYMBOLS_SQL}, needles AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS needle FROM part) SELECT needle, COUNT(*) AS n_symbols, MIN(symbol_id) AS first_id FROM needles JOIN symbols ON contains(lower(name), lower(needle)) OR contains(lower(qualified_name), lower(needle)) WHERE length(needle) > 2 GROUP BY needle")
+def search_batch(spark, d):
+    """Every word of part names as a needle at once."""
+    s = wh.symbols(spark, d)
+    words = wh.table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("needle")).distinct()
+    return trigrams.find(trigrams.postings(s), s, words).groupBy("needle").agg(F.count("*").alias("n_symbols"), F.min("symbol_id").alias("first_id"))
+
+
 @query("get_symbol_children", f"WITH {wh.SYMBOLS_SQL} SELECT parent, kind, qualified_name, rank FROM (SELECT repo || '/' || path AS parent, kind, qualified_name, CAST(ROW_NUMBER() OVER (PARTITION BY repo || '/' || path, kind ORDER BY line, qualified_name, symbol_id) AS INTEGER) AS rank FROM symbols WHERE repo <> 'GLOBAL') WHERE rank <= 50")
 def get_symbol_children(spark, d):
     s = wh.symbols(spark, d).where("repo <> 'GLOBAL'")
