@@ -24,8 +24,8 @@ from edgeatlas.llm.session import cut, drop, free, release, scratch
 
 LIMIT = 1024
 SCHEMA = "content binary, n_tokens long, tokenizer string"
-#: Missing digests of 32 bytes that are broadcast, at most (8 MB); beyond it distinct texts meet them in a shuffled join.
-BROADCAST_ROWS = 1 << 18
+#: Missing digests of 32 bytes that are broadcast, at most (some 10 MB in the join); beyond it distinct texts meet them in a shuffled join.
+BROADCAST_ROWS = 1 << 16
 #: Code points that one call of the library encodes, about.
 BATCH = 1 << 20
 #: A text with a character outside of these (Latin letters and punctuation) goes to the tokenizer's own library.
