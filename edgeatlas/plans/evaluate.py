@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from edgeatlas.functions.names import normal_key
 from edgeatlas.operators import evaluation, graph
+from edgeatlas.operators.baseline import answers
 from edgeatlas.plans.engine import Engine
 from edgeatlas.plans.envelope import ToolError
 
@@ -38,6 +39,7 @@ class Results:
     tools: list[dict[str, Any]] = field(default_factory=list)
     rules: list[dict[str, Any]] = field(default_factory=list)
     latency: dict[str, float] = field(default_factory=dict)
+    baseline: list[dict[str, Any]] = field(default_factory=list)
 
 
 def load_golden(path: str | Path) -> list[Golden]:
@@ -68,7 +70,16 @@ def ask(engine: Engine, g: Golden) -> tuple[list[str], list[tuple[str, bool]]]:
     return sorted({n for n, _, c in pairs if c >= ANSWERED_FROM}), [(r, n in g.expected) for n, r, _ in pairs]
 
 
-def run(spark: SparkSession, engine: Engine, golden: list[Golden]) -> Results:
+def baseline(spark: SparkSession, golden: list[Golden], texts: DataFrame) -> list[dict[str, Any]]:
+    """Scores per tool of text search over ``texts`` (repo, path, text); paths have no such answer."""
+    rows = [(g.id, g.tool, g.args.get("symbol") or g.args.get("pattern"), g.expected) for g in golden if g.tool in ("what_calls", "what_does_it_call", "find_config_key")]
+    q = spark.createDataFrame(rows, "id string, tool string, subject string, expected array<string>")
+    got = q.join(answers(q, texts), "id", "left").withColumn("answered", F.coalesce("answered", F.array().cast("array<string>")))
+    return [r.asDict() for r in evaluation.by_tool(evaluation.score(got)).orderBy("tool").collect()]
+
+
+def run(spark: SparkSession, engine: Engine, golden: list[Golden], texts: DataFrame | None = None) -> Results:
+    """Every question asked; with ``texts`` (repo, path, text), text search's scores beside the engine's."""
     rows, hits = [], []
     for g in golden:
         began = time.perf_counter()
@@ -79,12 +90,7 @@ def run(spark: SparkSession, engine: Engine, golden: list[Golden]) -> Results:
     scores = evaluation.score(q)
     rules = evaluation.calibration(spark.createDataFrame(hits, "rule string, right boolean"), graph.rule_table(spark)).orderBy(F.desc("nominal"), "rule")
     ms = [r[-1] for r in rows]
-    return Results([r.asDict() for r in scores.orderBy("id").collect()], [r.asDict() for r in evaluation.by_tool(scores).orderBy("tool").collect()], [r.asDict() for r in rules.collect()], {"p50": nearest_rank(ms, 0.5), "p95": nearest_rank(ms, 0.95)} if ms else {})
-
-
-def grep_callers(texts: DataFrame, scopes: DataFrame, word: str) -> DataFrame:
-    """qualified_name: the innermost definitions around whole-word mentions. ``scopes``: path, qualified_name, line_start, line_end."""
-    return evaluation.enclosing(evaluation.grep(texts, word).select("path", "line"), scopes).select("qualified_name").distinct()
+    return Results([r.asDict() for r in scores.orderBy("id").collect()], [r.asDict() for r in evaluation.by_tool(scores).orderBy("tool").collect()], [r.asDict() for r in rules.collect()], {"p50": nearest_rank(ms, 0.5), "p95": nearest_rank(ms, 0.95)} if ms else {}, baseline(spark, golden, texts) if texts is not None else [])
 
 
 def write_report(results: Results, folder: str | Path) -> None:
@@ -92,7 +98,8 @@ def write_report(results: Results, folder: str | Path) -> None:
     folder.mkdir(parents=True, exist_ok=True)
     (folder / "results.json").write_text(json.dumps(vars(results), indent=1))
     (folder / "baseline.json").write_text(json.dumps({r["tool"]: round(r["f1"], 4) for r in results.tools}, indent=1))
-    table = ["| tool | n | precision | recall | F1 |", "|-|-|-|-|-|"] + [f"| {r['tool']} | {r['n']} | {r['precision']:.2f} | {r['recall']:.2f} | {r['f1']:.2f} |" for r in results.tools]
+    search = {r["tool"]: f"{r['f1']:.2f}" for r in results.baseline}
+    table = ["| tool | n | precision | recall | F1 | F1 of text search |", "|-|-|-|-|-|-|"] + [f"| {r['tool']} | {r['n']} | {r['precision']:.2f} | {r['recall']:.2f} | {r['f1']:.2f} | {search.get(r['tool'], '-')} |" for r in results.tools]
     rules = ["| rule | nominal | observed | edges |", "|-|-|-|-|"] + [f"| {r['rule']} | {r['nominal']:.2f} | {r['observed']:.2f} | {r['n']} |" for r in results.rules]
     latency = ", ".join(f"{k} {v:.0f} ms" for k, v in results.latency.items())
     (folder / "report.md").write_text("\n".join([f"Latency: {latency}", "", *table, "", *rules, ""]))

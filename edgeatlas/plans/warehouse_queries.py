@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeatlas.functions import names, secrets
-from edgeatlas.operators import config_keys, evaluation, graph, overview, symbols as sym, trigrams
+from edgeatlas.extract import scopes
+from edgeatlas.operators import baseline, config_keys, evaluation, graph, overview, symbols as sym, trigrams
 from edgeatlas.operators.lookup import lookup
 from edgeatlas.plans.fragments import FragmentStore
 from edgeatlas.plans.snapshot import diff
@@ -419,6 +420,32 @@ def grep_needles(spark, d):
     return evaluation.grep(wh.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "text"), "token")
 
 
+_LONG_WORDS = "words AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{9,}')) AS word FROM benchmark)"
+
+
+@query("word_mentions", f"WITH {_LONG_WORDS}, t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS word FROM documents) SELECT word, COUNT(*) AS n, COUNT(DISTINCT doc_id) AS n_docs FROM t JOIN words USING (word) GROUP BY word")
+def word_mentions(spark, d):
+    """All long words of the benchmark in all documents, in one pass."""
+    words = wh.table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{9,}"), F.lit(0))).alias("word"))
+    m = baseline.mentions(wh.table(spark, d, "documents").select("doc_id", "text"), words, keys=("doc_id",))
+    return m.groupBy("word").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
+
+
+@query("env_assignments", r"SELECT doc_id, regexp_extract(l, '^\s*(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*)\s*=', 1) AS key, CAST(line AS INTEGER) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents) WHERE regexp_matches(l, '^\s*(?:export\s+)?[A-Za-z_][A-Za-z0-9_]*\s*=')".replace("\\\\", "\\"))
+def env_assignments(spark, d):
+    """An extractor as a table function: lines of documents that assign like an environment file."""
+    scopes.register(spark)
+    wh.table(spark, d, "documents").createOrReplaceTempView("env_documents")
+    return spark.sql("SELECT doc_id, k.key, k.line FROM env_documents, LATERAL env_keys(text) k")
+
+
+@query("event_keys", "SELECT k AS key, COUNT(*) AS n FROM (SELECT unnest(json_keys(props)) AS k FROM events) GROUP BY k")
+def event_keys(spark, d):
+    scopes.register(spark)
+    wh.table(spark, d, "events").createOrReplaceTempView("keyed_events")
+    return spark.sql("SELECT k.key, COUNT(*) AS n FROM keyed_events, LATERAL json_leaf_keys(props) k GROUP BY k.key")
+
+
 @query("golden_candidates", f"WITH {wh.EDGES_SQL} SELECT to_name, COUNT(DISTINCT from_name) AS n_callers FROM edges WHERE kind = 'call' GROUP BY to_name HAVING COUNT(DISTINCT from_name) BETWEEN 1 AND 15 ORDER BY sha256(to_name), to_name LIMIT 25")
 def golden_candidates(spark, d):
     return evaluation.golden_candidates(wh.edges(spark, d, ("call",)))
