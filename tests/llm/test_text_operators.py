@@ -370,6 +370,36 @@ def test_a_long_log_leaves_examples_of_other_kinds(spark, monkeypatch):
     assert spans[999] == "card:4:20,card:21:37" and all("secret:" in spans[i] for i in range(120))
 
 
+def test_pii_is_linear_in_matches(spark):
+    """Twice the matches of one text take at most 2.2 times the time, apart from what any run takes."""
+    import time
+
+    def took(n):
+        df = spark.createDataFrame([(1, "10.0.0.1 +49 151 2345678901 " * (n // 2))], "doc_id long, text string")
+        best = float("inf")
+        for _ in range(2):
+            began = time.perf_counter()
+            assert pii.with_base(df, "text").select(F.size("__base_ip") + F.size("__base_phone")).first()[0] >= n // 2
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    took(1_000)
+    fixed = took(100)
+    assert took(16_000) - fixed <= 2.2 * (took(8_000) - fixed) + 1.0
+    assert took(16_000) < 12
+
+
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 128, 1000])
+def test_scan_folds_pieces_in_order(spark, n):
+    df = spark.createDataFrame([([i % 7 for i in range(n)],)], "x array<int>")
+    got = df.select(pii.scan(F.col("x"), F.lit(0), lambda at, x, i: (at + x, F.struct(i.alias("i"), at.alias("at"), x.alias("x"))), "struct<i:int,at:int,x:int>")).first()[0]
+    want, at = [], 0
+    for i in range(n):
+        want.append((i, at, i % 7))
+        at += i % 7
+    assert [tuple(r) for r in got] == want
+
+
 def test_pii_kinds_come_from_all_documents(spark):
     """A kind in few of many documents, and in texts without two digits in a row, is learnt all the same."""
     import hashlib
