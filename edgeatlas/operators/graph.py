@@ -20,7 +20,7 @@ MAX_LIMIT, MAX_DEPTH, MAX_PATH = 200, 3, 10
 
 def check_range(name: str, value: float, low: float, high: float) -> None:
     if isinstance(value, bool) or not isinstance(value, (int, float)) or not low <= value <= high:
-        raise invalid(f"{name} must be between {low} and {high}")
+        raise invalid(f"{name} must be between {low} and {high} (got {value})")
 
 
 def followed(edges: DataFrame, min_confidence: float, kinds: tuple[str, ...] = TRAVERSED) -> DataFrame:
@@ -59,7 +59,8 @@ def traverse(edges: DataFrame, starts: DataFrame, depth: int = 1, min_confidence
     e = followed(edges, min_confidence)
     e = cut(e, "edges") if depth > 1 else e  # read once a level
     met = reduce(DataFrame.unionByName, levels(e, starts, depth, reverse))
-    met = met.select("query_id", "depth", "from_name", "to_name", "from_id", "to_id", "kind", "rule", "confidence", "path", "line")
+    more = [c for c in ("repo", "candidates") if c in edges.columns]
+    met = met.select("query_id", "depth", "from_name", "to_name", "from_id", "to_id", "kind", "rule", "confidence", "path", "line", *more)
     if limit is not None:
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order()))
         met = met.withColumn("rank", rank).where(F.col("rank") <= limit).drop("rank")

@@ -72,10 +72,10 @@ def resolve_symbol(symbols: DataFrame, name: str) -> list[int]:
         r, q, k = next(iter(found))
         return [x["symbol_id"] for x in symbols.where((F.col("repo") == r) & (F.col("qualified_name") == q) & (F.col("kind") == k)).select("symbol_id").collect()]
     if found:
-        more = "more than " if len(rows) > CANDIDATES_SHOWN else ""
+        many = f"more than {CANDIDATES_SHOWN}" if len(rows) > CANDIDATES_SHOWN else str(len(rows))
         shown = [f"{r}:{q}" for r, q, _ in sorted(found)][:CANDIDATES_SHOWN]
-        raise ToolError("ambiguous_symbol", f"{name!r} means {more}{len(shown)} symbols", "name one of them, with its repository if need be", shown)
-    raise ToolError("not_found", f"no symbol {name!r}", "", [r["qualified_name"] for r in suggest(pool, text).collect()])
+        raise ToolError("ambiguous_symbol", f"{many} symbols match {name!r}", "pass a qualified name, or repo:qualified.name", shown)
+    raise ToolError("not_found", f"no symbol matches {name!r}", "try search_symbols", [r["qualified_name"] for r in suggest(pool, text).collect()])
 
 
 def suggest(symbols: DataFrame, name: str, cutoff: float = 0.6, n: int = 5) -> DataFrame:

@@ -72,7 +72,7 @@ class Engine:
         pool = s.where(sym.matches(query))
         pool = pool.where(F.col("kind") == kind) if kind else pool
         more = (pool.where(F.col("repo") == repo) if repo else pool).count() - len(rows)
-        return self.answer([_symbol(r) for r in rows], [_place(r) for r in rows], notes=[f"{more} more match; narrow the query or raise the limit"] if more else [])
+        return self.answer([_symbol(r) for r in rows], [_place(r) for r in rows], notes=[f"truncated: {more} more; narrow with repo= or kind="] if more else [])
 
     def get_symbol(self, name: str) -> Answer:
         s, _ = self.views()
@@ -84,32 +84,39 @@ class Engine:
         kinds: dict[str, list[str]] = {}
         for c in rows[: sym.CHILDREN_SCANNED]:
             kinds.setdefault(c["kind"], []).append(c["qualified_name"])
-        notes = [f"only the first {sym.CHILDREN_SCANNED} children were read"] if len(rows) > sym.CHILDREN_SCANNED else []
-        notes += [f"{len(v) - sym.CHILDREN_SHOWN} more of kind {k}" for k, v in kinds.items() if len(v) > sym.CHILDREN_SHOWN]
+        more = sum(max(0, len(v) - sym.CHILDREN_SHOWN) for v in kinds.values())
+        notes = [f"truncated: children capped at {sym.CHILDREN_SHOWN} per kind; {more} more not shown"] if more else []
+        notes += [f"truncated: child scan capped at {sym.CHILDREN_SCANNED} rows; more children may exist"] if len(rows) > sym.CHILDREN_SCANNED else []
         detail = _symbol(r) | {"container": q.rpartition(".")[0] or None, "visibility": r["visibility"], "param_count": r["param_count"], "declarations": len(ids), "children": {k: v[: sym.CHILDREN_SHOWN] for k, v in kinds.items()}}
         return self.answer([detail], [_place(r)], notes=notes)
 
+    def _hidden(self, e: DataFrame, starts: DataFrame, min_confidence: float, reverse: bool) -> tuple[list[str], float]:
+        """The note on the symbol's own edges under the threshold, and the best one's confidence (1 without any)."""
+        under = graph.hidden(e, starts, min_confidence, reverse).first()
+        if not under:
+            return [], 1.0
+        noun = "candidate" if under["n_hidden"] == 1 else "candidates"
+        rules = under["rules"].replace(",", ", ")
+        return [f"{under['n_hidden']} lower-confidence {noun} hidden (rules: {rules}); pass min_confidence={under['suggested']:g} to see them"], under["max_confidence"]
+
     def _edges(self, symbol: str, depth: int, min_confidence: float, limit: int, reverse: bool) -> Answer:
         graph.check_range("limit", limit, 1, graph.MAX_LIMIT)
         s, e = self.views()
         ids = sym.resolve_symbol(s, symbol)
         starts = self.spark.createDataFrame([("q", i) for i in ids], "query_id string, id long")
-        rows = graph.traverse(e, starts, depth, min_confidence, None, reverse).orderBy(*graph.order()).collect()
-        under = graph.hidden(e, starts, min_confidence, reverse).first()
-        notes = []
-        if n := sum(r["rule"] == "ambiguous" for r in rows):
-            notes.append(f"{n} ambiguous edge{'s' if n > 1 else ''}: one of several symbols of that name")
-        if under:
-            n = under["n_hidden"]
-            notes.append(f"{n} edge{'s' if n > 1 else ''} below the confidence threshold ({under['rules']}); try min_confidence={under['suggested']}")
-        if len(rows) > limit:
-            notes.append(f"{len(rows) - limit} more edges; raise the limit")
-        shown = rows[:limit]
-        confidence = min((r["confidence"] for r in shown), default=under["max_confidence"] if under else 1.0)
-        where = {(r["from_id"], r["to_id"], r["line"], r["rule"]): r for r in e.where(F.col("from_id").isin(*{r["from_id"] for r in shown})).collect()} if shown else {}
-        evidence = [{"repo": where[r["from_id"], r["to_id"], r["line"], r["rule"]]["repo"], "path": r["path"], "line": r["line"], "rule": r["rule"], "confidence": r["confidence"]} for r in shown]
+        met = graph.traverse(e, starts, depth, min_confidence, None, reverse)
+        # what is not shown is counted where it is; only the rows shown come here
+        shown, total = met.orderBy(*graph.order()).limit(limit).collect(), met.count()
+        end = "from" if reverse else "to"
+        notes = [f"{r[end + '_name']}: 1 of {r['candidates']} candidates (matched by name only)" for r in shown if r["rule"] == "ambiguous"]
+        if total > limit:
+            notes.append(f"truncated: {total - limit} more; lower depth or raise min_confidence")
+        if not shown:
+            notes.append(f"no {'callers' if reverse else 'callees'} at min_confidence >= {min_confidence}")
+        note, best = self._hidden(e, starts, min_confidence, reverse)
+        evidence = [{"repo": r["repo"], "path": r["path"], "line": r["line"], "rule": r["rule"], "confidence": r["confidence"]} for r in shown]
         data = [{"from": r["from_name"], "to": r["to_name"], "kind": r["kind"], "depth": r["depth"]} for r in shown]
-        return self.answer(data, evidence, confidence, notes, ["curated" if r["rule"] == "curated" else "derived" for r in shown])
+        return self.answer(data, evidence, min((r["confidence"] for r in shown), default=best), notes + note, ["curated" if r["rule"] == "curated" else "derived" for r in shown] or ["derived"])
 
     def what_calls(self, symbol: str, depth: int = 1, min_confidence: float = 0.5, limit: int = 25) -> Answer:
         return self._edges(symbol, depth, min_confidence, limit, True)
@@ -126,15 +133,22 @@ class Engine:
         data = [{"symbol": names[r["symbol_id"]]["qualified_name"], "via": r["via_kind"]} for r in rows]
         evidence = [{"repo": names[r["symbol_id"]]["repo"], "path": r["via_path"], "line": r["via_line"], "rule": r["via_rule"], "confidence": r["via_confidence"]} for r in rows]
         confidence = min((r["via_confidence"] for r in rows if r["via_confidence"] is not None), default=1.0)
-        return self.answer(data, evidence, confidence, [] if rows else [f"no path of at most {max_depth} steps"], ["derived"] if len(rows) > 1 else [])
+        notes = []
+        if not rows:
+            starts = self.spark.createDataFrame([("q", x) for x in a], "query_id string, id long")
+            notes = [f"no call path within {max_depth} hops at min_confidence >= {min_confidence}", *self._hidden(e, starts, min_confidence, False)[0]]
+        return self.answer(data, evidence, confidence, notes, ["derived"] if len(rows) > 1 else [])
 
     def find_config_key(self, pattern: str, limit: int = 25) -> Answer:
         graph.check_range("limit", limit, 1, graph.MAX_LIMIT)
         t = self.catalog.table
         files = t("files").join(t("repos").select(F.col("id").alias("repo_id"), F.col("name").alias("repo")), "repo_id").select(F.col("id").alias("file_id"), "repo", "path")
-        rows = config_keys.find(t("config_keys").join(files, "file_id"), pattern, limit).collect()
+        rows = config_keys.find(t("config_keys").join(files, "file_id"), pattern, limit).orderBy("key_norm").collect()
+        total = config_keys.find(t("config_keys").join(files, "file_id"), pattern, None).count() if len(rows) == limit else len(rows)
         data = [{"key": r["key_norm"], "definitions": [x.asDict() for x in r["definitions"]], "reads": [x.asDict() for x in r["reads"]]} for r in rows]
-        notes = [f"{r['key_norm']}: only the first {config_keys.SHOWN} places are listed" for r in rows if max(r["n_definitions"], r["n_reads"]) > config_keys.SHOWN]
+        notes = [f"truncated: {total - limit} more keys; use a more specific pattern"] if total > limit else []
+        notes += [f"truncated: {r['key_norm']} has {r['n_' + what] - config_keys.SHOWN} more {what}" for r in rows for what in ("definitions", "reads") if r["n_" + what] > config_keys.SHOWN]
+        notes += [] if rows else [f"no config keys match {pattern!r}"]
         return self.answer(data, [x for d in data for x in (*d["definitions"], *d["reads"])], notes=notes)
 
     def repo_overview(self, repo: str) -> Answer:
@@ -144,19 +158,21 @@ class Engine:
             raise ToolError("not_found", f"no repository {repo!r}", "", [r["name"] for r in t("repos").orderBy("name").collect()])
         files = t("files").where(F.col("repo_id") == known["id"])
         langs = {r["lang"]: {"files": r["n_files"], "loc": r["loc"]} for r in overview.languages(files.withColumn("repo", F.lit(repo))).orderBy("lang").collect()}
-        points = t("entry_points").join(files.select(F.col("id").alias("file_id"), "path"), "file_id").orderBy("path", "line").limit(ENTRY_POINTS_SHOWN + 1).collect()
+        entries = t("entry_points").join(files.select(F.col("id").alias("file_id"), "path"), "file_id")
+        points, n_points = entries.orderBy("path", "line").limit(ENTRY_POINTS_SHOWN).collect(), entries.count()
         hot = overview.hotspots(e, s.where(F.col("repo") == repo)).join(s.select(F.col("symbol_id").alias("to_id"), "qualified_name"), "to_id").orderBy(F.desc("n_callers"), "to_id").collect()
         modules = overview.top_modules(s, repo).collect()
-        data = {"repo": repo, "languages": langs, "top_modules": [(r["module"], r["n_symbols"]) for r in modules], "entry_points": [{"kind": p["kind"], "name": p["name"], "path": p["path"], "line": p["line"]} for p in points[:ENTRY_POINTS_SHOWN]], "hotspots": [(r["qualified_name"], r["n_callers"]) for r in hot]}
-        return self.answer([data], [], notes=[f"only the first {ENTRY_POINTS_SHOWN} entry points are listed"] if len(points) > ENTRY_POINTS_SHOWN else [], repos={repo})
+        data = {"repo": repo, "languages": langs, "top_modules": [(r["module"], r["n_symbols"]) for r in modules], "entry_points": [{"kind": p["kind"], "name": p["name"], "path": p["path"], "line": p["line"]} for p in points], "hotspots": [(r["qualified_name"], r["n_callers"]) for r in hot]}
+        return self.answer([data], [], notes=[f"truncated: {n_points - len(points)} more entry points"] if n_points > len(points) else [], repos={repo})
 
     def explain_edge(self, from_symbol: str, to_symbol: str) -> Answer:
         s, e = self.views()
         a, b = sym.resolve_symbol(s, from_symbol), sym.resolve_symbol(s, to_symbol)
         rows = graph.explain(e, a, b).collect()
+        named = lambda ids: s.where(F.col("symbol_id").isin(ids)).first()["qualified_name"]
         data = [{"from": r["from_name"], "to": r["to_name"], "kind": r["kind"], "rule": r["rule"], "meaning": r["meaning"]} for r in rows]
         evidence = [{"path": r["path"], "line": r["line"], "rule": r["rule"], "confidence": r["confidence"]} for r in rows]
-        return self.answer(data, evidence, min((r["confidence"] for r in rows), default=1.0), [] if rows else ["no edge between them"], ["curated" if r["rule"] == "curated" else "derived" for r in rows])
+        return self.answer(data, evidence, min((r["confidence"] for r in rows), default=1.0), [] if rows else [f"no edge from {named(a)} to {named(b)}"], ["curated" if r["rule"] == "curated" else "derived" for r in rows])
 
 
 def _symbol(r) -> dict[str, Any]:

@@ -45,15 +45,17 @@ def weakest(sources: list[str]) -> str:
 
 def with_staleness(answer: Answer, repos: list[dict[str, Any]], head_fn: Callable[[str], str | None]) -> Answer:
     """Add the repositories' snapshots by name; a head that differs or can't be read makes the answer stale."""
+    behind, unreadable = False, []
     for r in sorted(repos, key=lambda x: x["name"]):
         answer.as_of.append({"repo": r["name"], "sha": r["head_sha"], "indexed_at": r["indexed_at"]})
         now = head_fn(r["path"])
-        if now is None:
-            answer.stale = True
-            answer.notes.append(f"{r['name']}: the current commit can't be read")
-        elif now != r["head_sha"]:
-            answer.stale = True
-            answer.notes.append(f"{r['name']}: indexed at {r['head_sha'][:8]}, now at {now[:8]}")
+        unreadable += [r["name"]] if now is None else []
+        behind |= now not in (None, r["head_sha"])
+    answer.stale = behind or bool(unreadable)
+    if behind:
+        answer.notes.append("index is behind HEAD for at least one repo; run `edgeatlas index <root>`")
+    if unreadable:
+        answer.notes.append(f"HEAD could not be read for {', '.join(unreadable)} (git is missing or the repo path is gone), so freshness is unknown and the answer is marked stale")
     return answer
 
 

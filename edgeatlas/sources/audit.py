@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from edgeatlas.operators.percentiles import order_statistics
+
 SCHEMA = "ts timestamp, tool string, args map<string,string>, result_count long, duration_ms double, client string, error string"
 
 
@@ -40,10 +42,10 @@ def tail(log: DataFrame, n: int) -> DataFrame:
 
 
 def summary(log: DataFrame) -> DataFrame:
-    """tool, n_calls, n_errors, p50 (interpolated), p95 (nearest rank)."""
-    return log.groupBy("tool").agg(
-        F.count("*").alias("n_calls"),
-        F.count_if(F.col("error").isNotNull()).alias("n_errors"),
-        F.median("duration_ms").alias("p50"),
-        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY duration_ms)").alias("p95"),
-    )
+    """tool, n_calls, n_errors, p50 (interpolated), p95 (nearest rank); a tool's rows are never gathered in one place."""
+    counts = log.groupBy("tool").agg(F.count("*").alias("n_calls"), F.count_if(F.col("error").isNotNull()).alias("n_errors"))
+    n = F.col("n")
+    ranks = {"below": F.floor((n - 1) / 2), "above": F.ceil((n - 1) / 2), "p95": F.ceil(n * 0.95 - 1e-9) - 1}
+    stats = order_statistics(log, "tool", "duration_ms", ranks).withColumnRenamed("tool", "of")
+    j = counts.join(stats, F.col("tool").eqNullSafe(F.col("of")), "left")
+    return j.select("tool", "n_calls", "n_errors", ((F.col("below") + F.col("above")) / 2).alias("p50"), "p95")

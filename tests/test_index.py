@@ -59,6 +59,14 @@ def test_questions(spark, built):
     assert over["languages"]["python"]["files"] == 5 and ("store.pricing.quote", 1) in over["hotspots"]
     st = g.status().data[0]
     assert st["n_edges"] == len(EDGES) + 2 and st["unresolved_links"] == 0
+    notes = lambda a: [n for n in a.notes if "HEAD" not in n]
+    assert notes(g.what_calls("store.pricing.quote", limit=1)) == ["truncated: 1 more; lower depth or raise min_confidence"]
+    assert notes(g.what_does_it_call("store.pricing._ask")) == ["no callees at min_confidence >= 0.5"]
+    assert notes(g.find_path("store.pricing._ask", "store.main.run_store")) == ["no call path within 6 hops at min_confidence >= 0.5"]
+    assert notes(g.explain_edge("store.pricing._ask", "store.pricing.quote")) == ["no edge from store.pricing._ask to store.pricing.quote"]
+    assert notes(g.find_config_key("nothing_of_the_kind")) == ["no config keys match 'nothing_of_the_kind'"]
+    assert notes(g.find_config_key("*", limit=1))[0].startswith("truncated: ")
+    assert notes(g.search_symbols("store", limit=1))[0].endswith(" more; narrow with repo= or kind=")
     for name, error in (("nothing_like_it", "not_found"), ("", "invalid_argument")):
         with pytest.raises(ToolError) as e:
             g.what_calls(name)
@@ -96,7 +104,7 @@ def test_steps_equal_all_at_once(spark, built, tmp_path):
     counts = ix.index_root(spark, catalog, str(root))
     assert counts["failed"] == 1 and counts["same"] == sum(len(f) for f in CORPUS.values())
     stale = Engine(spark, str(store), head_fn=lambda path: None).what_calls("store.pricing.quote")
-    assert stale.stale and stale.notes
+    assert stale.stale and stale.notes == ["HEAD could not be read for store (git is missing or the repo path is gone), so freshness is unknown and the answer is marked stale"]
 
 
 def test_no_index_and_newer_schema(spark, tmp_path):
