@@ -4,7 +4,7 @@ import pytest
 
 from edgeatlas import cli
 from edgeatlas.plans import evaluate
-from edgeatlas.plans.corpus import LEDGER
+from tests.corpus import LEDGER
 from edgeatlas.plans.engine import Engine
 from tests.test_index import write
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from edgeatlas.extract import extract_one
 from edgeatlas.plans import fixture_queries as fx
-from edgeatlas.plans.corpus import CORPUS, EDGES
+from tests.corpus import CORPUS, EDGES
 
 
 def facts(lang, path, text):
@@ -18,7 +18,7 @@ def refs(f, *kinds):
 
 @pytest.fixture(scope="module")
 def tables(spark):
-    return fx.tables(spark)
+    return fx.tables(spark, CORPUS)
 
 
 def test_golden_edges(spark, tables):
@@ -140,6 +140,13 @@ def test_csharp_bases_aliases_and_statics(small):
     assert of(small, "M.User.Use") == {("M.User.Use", "N.Root.Work", "declared_type"), ("M.User.Use", "N.Tools.Help", "import_scope")}
 
 
+@pytest.mark.parametrize("name", sorted(fx.SQL))
+def test_generated_files_match_sql(spark, sf, name):
+    from tests.oracle import connect, same
+
+    same(fx.QUERIES[name](spark, sf), connect(sf), fx.SQL[name])
+
+
 def test_python_broken_file_keeps_what_can_be_read():
     f = facts("python", "src/a.py", "def good():\n    other()\n\ndef bad(:\n    pass\n")
     assert f.parse_error

@@ -6,7 +6,7 @@ import subprocess
 import pytest
 
 from edgeatlas.plans import index as ix
-from edgeatlas.plans.corpus import CORPUS, EDGES
+from tests.corpus import CORPUS, EDGES
 from edgeatlas.plans.engine import Engine
 from edgeatlas.plans.envelope import Answer, ToolError, ToolRunner
 from edgeatlas.sources import audit, repos as R
