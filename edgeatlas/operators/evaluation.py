@@ -27,6 +27,13 @@ def score(questions: DataFrame) -> DataFrame:
     return questions.select("id", "tool", *[F.when(F.col("tool") == "find_path", exact).otherwise(c).alias(k) for k, c in scores.items()])
 
 
+def score_items(items: DataFrame) -> DataFrame:
+    """``score`` of questions given item by item: id, tool, item, expected and answered (booleans). Items are counted, not gathered; one given twice counts once."""
+    once = items.groupBy("id", "tool", "item").agg(F.bool_or(F.coalesce("expected", F.lit(False))).alias("e"), F.bool_or(F.coalesce("answered", F.lit(False))).alias("a"))
+    n = once.groupBy("id", "tool").agg(F.count_if(F.col("e") & F.col("a")).alias("hits"), F.count_if("a").alias("n_a"), F.count_if("e").alias("n_e"))
+    return n.select("id", "tool", *[c.alias(k) for k, c in ratios(F.col("hits"), F.col("n_a"), F.col("n_e")).items()])
+
+
 def by_tool(scores: DataFrame) -> DataFrame:
     return scores.groupBy("tool").agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in ("precision", "recall", "f1")])
 

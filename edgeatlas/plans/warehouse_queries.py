@@ -367,12 +367,12 @@ _EVAL = "q AS (SELECT lang, source, list(doc_id ORDER BY doc_id) FILTER (WHERE q
 def _questions(spark, d) -> DataFrame:
     j = wh.table(spark, d, "documents").select("doc_id", "lang", "source").join(wh.table(spark, d, "labels"), "doc_id")
     right = (F.col("toxic") == 1) | ((F.col("quality") == 0) & (F.col("doc_id") % 2 == 0))
-    return j.groupBy(F.col("lang").alias("tool"), F.col("source").alias("id")).agg(F.sort_array(F.collect_list(F.when(F.col("quality") == 0, F.col("doc_id")))).alias("expected"), F.sort_array(F.collect_list(F.when(right, F.col("doc_id")))).alias("answered"))
+    return j.select(F.col("lang").alias("tool"), F.col("source").alias("id"), F.col("doc_id").alias("item"), (F.col("quality") == 0).alias("expected"), right.alias("answered"))
 
 
 @query("eval_f1_by_group", f"WITH {_EVAL} SELECT lang AS tool, COUNT(*) AS n, round(AVG(p), 9) AS precision, round(AVG(r), 9) AS recall, round(AVG(f), 9) AS f1 FROM s GROUP BY lang")
 def eval_f1_by_group(spark, d):
-    return evaluation.by_tool(evaluation.score(_questions(spark, d))).select("tool", "n", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+    return evaluation.by_tool(evaluation.score_items(_questions(spark, d))).select("tool", "n", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
 @query("regression_gate", f"WITH {_EVAL}, g AS (SELECT lang, round(AVG(f), 9) AS f1 FROM s GROUP BY lang), b AS (SELECT DISTINCT lang AS tool, CASE WHEN lang < 'e' THEN 1.0 ELSE 0.001 END AS before FROM documents) SELECT tool, CAST(before AS DOUBLE) AS before, f1 FROM b JOIN g ON lang = tool WHERE f1 < before - 0.02")

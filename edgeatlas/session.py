@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -17,11 +18,13 @@ _EVERY, _tidied = 5.0, [float("-inf")]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where the session names none (tests, a single machine) a temporary folder is set once."""
+    """``spark.checkpoint.dir``; where the session names none, a temporary folder is set once on a single machine (tests), and on a cluster it is an error."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or (current.get() if current.isDefined() else None)
     if not found:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="edgeatlas-")
     if not current.isDefined():
         sc.setCheckpointDir(found)
