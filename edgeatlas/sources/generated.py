@@ -75,5 +75,7 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "nation").select(F.lit("places").alias("repo"), F.concat(F.lit("Nation"), "n_nationkey", F.lit(".cs")).alias("path"), _text(NATION, n="n_nationkey").alias("text")),
         table(spark, sf_dir, "region").select(F.lit("settings").alias("repo"), F.concat(F.lit("r"), "r_regionkey", F.lit("/appsettings.json")).alias("path"), _text(REGION, r="r_regionkey").alias("text")),
     ]
-    all_ = rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+    # small texts, long work: without a number adaptive execution would put them into few tasks
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    all_ = rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3]).repartition(n, "repo", "path")
     return all_.select("repo", "path", language(F.col("path")).alias("lang"), F.encode("text", "UTF-8").alias("content"), F.sha2("text", 256).alias("content_hash"))
