@@ -7,7 +7,8 @@ tried again from its middle, which changes no match.
 Loose generators propose spans that the strict kinds miss: numbers and phones glued to neighbours, written-out addresses, secrets. The
 trees see a span's format and what stands before it. They learn from candidates that equal a strict span, are a strict address written
 out, or a secret after an assignment, against the generators' other candidates, in all documents: candidates alike in fold, kind, features and label are
-counted, and the driver fits on the counts, of ``SAMPLE_SPANS`` distinct ones of a fold, kind and label at most. Each kind's threshold is the least that holds the precision on held-out documents.
+counted, and trees and thresholds come from sums over all counts, whatever their number: a Spark job for each level of the trees where there are many,
+which gives the same trees. Each kind's threshold is the least that holds the precision on held-out documents.
 
 Work is linear in a text's length and nearly so in its matches (their number over ``PIECE``, squared, is copied, too): no fold carries more than a piece.
 """
@@ -15,7 +16,7 @@ Work is linear in a text's length and nearly so in its matches (their number ove
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgeatlas.llm import boosting
@@ -55,10 +56,11 @@ OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 ASSIGNED = r"(?i)(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|auth)[a-z_-]*[\"']?\s{0,3}[:=]\s{0,3}[\"']?$"
 #: What tells a written-out address from a place: the dot is a word, too.
 WRITTEN_OUT = r"(?:[\[(](?:dot|DOT)[\])]|\x20dot\x20)"
-#: Distinct examples of one fold, kind and label that the driver fits on, the first by a hash; precision asked for on held-out ones.
-SAMPLE_SPANS, PRECISION = 2_000, 0.9
+#: Distinct examples up to which the driver takes their sums itself; beyond it Spark does, over all of them alike. Precision asked for on held-out ones.
+SAMPLE_SPANS, PRECISION = 50_000, 0.9
 #: Features, for fitting and for scoring alike: exact up to the first, then rounded down to multiples of the second, and at most the third.
 EXACT, STEP, MOST = 16, 8, 256
+VALUES = np.array([*range(EXACT + 2), *range(EXACT + STEP, MOST + 1, STEP)])
 #: A span: start, end, text, and what stands before and after it.
 SPAN = "struct<s:int,e:int,m:string,b:string,a:string>"
 #: Elements that one fold of ``scan`` gathers.
@@ -206,18 +208,11 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Model:
     spans = d.select("h", F.pmod("h", F.lit(3)).alias("fold"), F.explode("__cand").alias("c"), "out", *[f"__{x}_{k}" for k in BASE for x in ("base", "raw")])
     spans = spans.where(~glued & F.when(F.col("out"), (F.col("c.k") == 0) & told).otherwise((F.col("c.k") != 0) | ~told)).select("fold", "c.k", F.col("c.f").cast("array<int>").alias("f"), same.alias("y"))
     alike = cut(spans.groupBy("fold", "k", "f", "y").agg(F.count("*").alias("n")), "examples")
-    by_hash = Window.partitionBy("fold", "k", "y").orderBy(F.xxhash64("f"), "f")
-    alike = alike.withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= SAMPLE_SPANS)
-    rows = sorted(alike.select("fold", "k", "f", "y", "n").collect())
-    trees, cuts = [], []
-    for k in range(len(KINDS)):
-        own = [r for r in rows if r["k"] == k]
-        x, y, fold = np.array([r["f"] for r in own], float).reshape(-1, len(FEATURES)), np.array([bool(r["y"]) for r in own], float), np.array([r["fold"] for r in own])
-        n = np.array([r["n"] for r in own], float)
-        t = boosting.fit(x[fold > 0], y[fold > 0], n[fold > 0])
-        trees.append(t)
-        held = fold == 0
-        cuts.append(max(0.5, boosting.threshold(t.predict(x[held]), y[held], n[held], PRECISION)) if held.any() and y.any() else 2.0)
+    shape = boosting.Shape(len(KINDS), len(FEATURES), VALUES)
+    few = alike.count() <= SAMPLE_SPANS
+    examples = boosting.Local(boosting.Examples.of(alike.toArrow(), len(FEATURES)), shape) if few else boosting.Spread(alike, shape)
+    trees, hits = boosting.fit(examples)
+    cuts = [max(0.5, c) for c in boosting.thresholds(examples.held(trees), len(KINDS), hits, PRECISION)]
     return Model(trees, cuts)
 
 

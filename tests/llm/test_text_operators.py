@@ -370,6 +370,20 @@ def test_a_long_log_leaves_examples_of_other_kinds(spark, monkeypatch):
     assert spans[999] == "card:4:20,card:21:37" and all("secret:" in spans[i] for i in range(120))
 
 
+def test_pii_learns_from_every_distinct_example(spark, monkeypatch):
+    """Trees and thresholds do not depend on how many distinct examples there are of a fold, kind and label, nor on where they are summed."""
+    rng = random.Random(12)
+    chars = "abcdefghijkXYZ0123456789_-"
+    key = lambda: "".join(rng.choices(chars[: rng.randint(2, 26)], k=rng.randint(24, 90)))
+    rows = [(i, f"token = \"{key()}\" or {key()} and {key()} at 10.0.{i % 250}.1") for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    here = pii.fit(df)
+    monkeypatch.setattr(pii, "SAMPLE_SPANS", 50)
+    there = pii.fit(df)
+    assert here.trees == there.trees and here.cuts == there.cuts
+    assert here.cuts[pii.KINDS.index("secret")] <= 1 and here.trees[pii.KINDS.index("secret")].trees
+
+
 def test_pii_is_linear_in_matches(spark):
     """Twice the matches of one text take at most 2.2 times the time, apart from what any run takes."""
     import time
