@@ -189,3 +189,42 @@ def test_one_failing_file_is_one_parse_error():
 
 def test_corpus_is_whole(tables):
     assert tables["files"].count() == sum(len(f) for f in CORPUS.values())
+
+
+def test_a_worker_holds_the_facts_of_a_slice(monkeypatch):
+    """A batch of any number of files goes out in slices, cleaned on the way."""
+    import pyarrow as pa
+
+    from edgeatlas import extract as ex
+    from edgeatlas.functions import secrets
+
+    class Files:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, ddl):
+            return run
+
+    n = 3 * ex.SLICE + 1
+    rows = {"repo": ["r"] * n, "path": [f"m{i}.py" for i in range(n)], "lang": ["python"] * n, "content_hash": [""] * n, "content": [f"def f{i}(): pass\nimport os as password_{i}\n".encode() for i in range(n)]}
+    batch = pa.RecordBatch.from_pydict(rows)
+    seen = [0, 0]  # files held now, and at most
+    whole = ex.extract_one
+    monkeypatch.setattr(ex, "extract_one", lambda *a: (seen.__setitem__(0, seen[0] + 1), seen.__setitem__(1, max(seen)), whole(*a))[-1])
+    out = []
+    for b in ex.extract(Files(), clean=secrets.sanitize_obj)(iter([batch])):
+        seen[0] = 0
+        out += b.to_pylist()
+    assert seen[1] <= ex.SLICE
+    assert [r["path"] for r in out] == rows["path"] and [r["symbols"][1]["name"] for r in out] == [f"f{i}" for i in range(n)]
+
+
+def test_files_are_numbered_in_ranges(spark):
+    """By repository and path, without a task that holds a repository."""
+    from edgeatlas.plans.index import numbered
+
+    rows = [(f"r{i % 3}", f"p{(i * 7919) % 5000:04}") for i in range(5000)]
+    df = spark.createDataFrame(rows, "repo string, path string")
+    got = numbered(df, 10)
+    assert [tuple(r) for r in got.orderBy("file_id").select("repo", "path", "file_id").collect()] == [(*r, i + 11) for i, r in enumerate(sorted(rows))]
+    assert "hashpartitioning(repo" not in got._jdf.queryExecution().executedPlan().toString()
