@@ -129,3 +129,21 @@ def test_answers_beside_the_engines(spark):
     assert got == {g.id: g.expected for g in golden[:3]}
     scores = evaluate.baseline(spark, golden, files)
     assert [(r["tool"], r["n"], r["f1"]) for r in scores] == [("find_config_key", 1, 1.0), ("what_calls", 2, 1.0), ("what_does_it_call", 1, 1.0)]
+
+
+def test_golden_candidates_are_dealt_over_tasks_by_their_number(spark, monkeypatch):
+    """A task holds a bounded number of edges; repeated edges count once."""
+    import hashlib
+
+    from edgeatlas.operators import evaluation
+
+    rows = [(f"f{i % 30}", f"t{i % 7}") for i in range(400)] + [(f"g{i}", "hot") for i in range(40)] + [("f1", "one")] * 5
+    want = {}
+    for a, b in rows:
+        want.setdefault(b, set()).add(a)
+    want = sorted(((hashlib.sha256(b.encode()).hexdigest(), b, len(s)) for b, s in want.items() if len(s) <= 15))
+    monkeypatch.setattr(evaluation, "TASK_ROWS", 20)
+    got = evaluation.golden_candidates(spark.createDataFrame(rows, "from_name string, to_name string"))
+    assert [tuple(r) for r in got.select("to_name", "n_callers").collect()] == [w[1:] for w in want]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f", {len(rows) // 20 + 1}), REPARTITION_BY_NUM") >= 2
