@@ -4,14 +4,17 @@ A vector is normalised and rotated by a fixed random rotation; its code is the s
 inner product of the vector with its own code. The product of a code with another vector's rotated form, divided by the factor, is an
 unbiased estimate of their cosine whose error shrinks with the factor and the dimension. Codes and factors are stored with each vector,
 beside its rotated form in a byte a dimension (whose rounding error is bounded and added to the bound). Only these are sent to the
-places where vectors meet. A pair whose estimate plus bound stays under the threshold is dropped; full vectors are fetched for those that
-have a pair left, and such pairs are computed again in double precision.
+places where vectors meet. A pair whose estimate plus bound stays under the threshold is dropped, then one whose rotated forms in bytes
+stay under it by more than their rounding; full vectors are fetched for those that have a pair left, and such pairs are computed again in
+double precision.
 
 No pair at or above the threshold is left out of that estimate. A vector's home is the cell of its nearest centre (a bounded sample, near copies
 of a centre left out), in a near or a far ring. It visits each cell that a partner could have as home: two bounds follow from
-the least distance and the least angle between vectors that are no partners. Cells are put together or cut into blocks, a job is a pair
-of blocks and sees a pair of vectors once, and only counts and a spanning forest of its links leave a job. Equal vectors collapse
-beforehand. Where vectors have nothing in common no bound excludes a cell, so work among those is quadratic.
+the least distance and the least angle between vectors that are no partners. Cells are put together or cut into blocks, blocks into some
+12 groups; a job is a pair of groups, goes through its pairs of blocks one at a time and sees a pair of vectors once. A vector is sent to a
+job once, with the blocks it visits there as bits, and only counts and a spanning forest of its links leave a job. Equal vectors collapse
+beforehand. Where vectors have nothing in common no bound excludes a cell, so work among those is quadratic; what is sent is not, until
+groups reach their greatest size.
 """
 
 from __future__ import annotations
@@ -33,8 +36,11 @@ DEVIATIONS = 4.0
 LEAST_CENTRES, MOST_CENTRES = 8, 16384
 #: Cosine to the centre from which a vector is in the near ring of its cell.
 RING = 0.6
-#: Vectors of a block, at most; each vector is sent to at most as many jobs as there are blocks. Rows computed at once in a job.
+#: Vectors of a block, at most. Rows computed at once in a job.
 BLOCK, ROWS = 4096, 256
+#: Groups of blocks; each vector is sent to at most one job a group. Blocks of a group at most (bits of a long), which bounds a job's memory:
+#: beyond GROUPS * WIDE * BLOCK vectors (1.6 million) there are more groups.
+GROUPS, WIDE = 12, 32
 SEED = 11
 
 
@@ -53,7 +59,7 @@ class Codes:
         self._set(np.packbits(turned >= 0, axis=1), np.abs(turned).sum(1) / np.sqrt(dim), np.rint(turned * (127 / np.where(top > 0, top, 1))[:, None]).astype(np.int8), top / 127, dim)
 
     def _set(self, bits, factor, bytes_, scale, dim) -> Codes:
-        self.bits, self.factor, self.bytes, self.scale, self.dim = bits, factor, bytes_, scale, dim
+        self.bits, self.factor, self.bytes, self.scale, self.dim, self._turned = bits, factor, bytes_, scale, dim, None
         self.deviation = np.sqrt(np.maximum(0, 1 - factor**2) / (factor**2 * max(1, dim - 1)))
         return self
 
@@ -65,7 +71,9 @@ class Codes:
         return np.unpackbits(self.bits, axis=1, count=self.dim).astype(np.float32) * 2 - 1
 
     def turned(self) -> np.ndarray:
-        return self.bytes.astype(np.float32) * self.scale.astype(np.float32)[:, None]
+        if self._turned is None:
+            self._turned = self.bytes.astype(np.float32) * self.scale.astype(np.float32)[:, None]
+        return self._turned
 
     def rows(self, i, j=None) -> Codes:
         at = slice(i, j) if j is not None else i
@@ -79,7 +87,20 @@ class Codes:
         """Pairs whose estimate, with its deviation and the other side's rounding, reaches the threshold."""
         rounding = np.sqrt(self.dim) * float(other.scale.max(initial=0)) / 2
         least = threshold - 1e-5 - deviations * self.deviation - rounding / self.factor
-        return self.estimate(other) >= least.astype(np.float32)[:, None]
+        return self.signs() @ other.turned().T >= (least * np.sqrt(self.dim) * self.factor).astype(np.float32)[:, None]
+
+    def near(self, other: Codes, threshold: float, deviations: float) -> tuple[np.ndarray, np.ndarray]:
+        """Index pairs that ``may_link`` leaves and whose rotated forms reach the threshold or miss it by no more than both sides' rounding."""
+        maybe = self.may_link(other, threshold, deviations)
+        a, b = self.turned(), other.turned()
+        off, less = (np.sqrt(self.dim) / 2 * c.scale for c in (self, other))  # a rounded form is at most so far from its vector
+        if np.count_nonzero(maybe) > maybe.size // 16:
+            least = threshold - 1e-5 - off - float(less.max(initial=0)) * (1 + off)
+            maybe &= a @ b.T >= least.astype(np.float32)[:, None]
+            return np.divmod(np.flatnonzero(maybe), maybe.shape[1])
+        x, y = np.divmod(np.flatnonzero(maybe), maybe.shape[1])  # faster than nonzero
+        ok = np.einsum("ij,ij->i", a[x], b[y]) >= threshold - 1e-5 - off[x] - less[y] * (1 + off[x])
+        return x[ok], y[ok]
 
 
 def linked_parts(a: np.ndarray, b: np.ndarray, turn: np.ndarray, threshold: float = THRESHOLD, deviations: float = DEVIATIONS) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -162,6 +183,11 @@ class Cells:
         self.low, self.high = (np.array([e[k] for e in entries], np.float32) for k in (2, 3))
         self.starts = np.flatnonzero(np.diff([-1, *(e[0] for e in entries)]))
 
+    def groups(self) -> tuple[int, int]:
+        """Groups, and blocks of a group."""
+        per = max(1, min(WIDE, -(-len(self.starts) // GROUPS)))
+        return -(-len(self.starts) // per), per
+
     def block_of(self, home: np.ndarray, ring: np.ndarray, node: np.ndarray) -> np.ndarray:
         first, own = np.array([self.blocks[k] for k in zip(home.tolist(), ring.tolist(), strict=True)], np.int64).reshape(-1, 2).T
         return first + node % own
@@ -179,6 +205,36 @@ class Cells:
         may = side[:, self.entry_home] & (q >= self.low) & (q <= self.high)
         return np.logical_or.reduceat(may, self.starts, axis=1)
 
+    def sent(self, unit: np.ndarray, home: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Vectors (by index), groups that they are sent to, and the blocks they visit there as bits; ``own`` are the vectors' blocks."""
+        n, per = self.groups()
+        may = np.zeros((len(unit), n * per), bool)
+        may[:, : len(self.starts)] = self.visited(unit, home)
+        may[np.arange(len(own)), own] = True
+        bits = may.reshape(-1, n, per) @ (np.int64(1) << np.arange(per, dtype=np.int64))
+        x, to = np.nonzero(bits)
+        return x, to, bits[x, to]
+
+
+def meetings(key: tuple, table: pa.Table, per: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Of the job ``key``, a pair of groups: each pair of blocks that has vectors on both sides, and the rows of ``table`` that meet there."""
+    i, j = (k.as_py() for k in key)
+    block, visits = (table.column(k).to_numpy() for k in ("block", "visits"))
+    order = np.argsort(block, kind="stable")
+    first = {int(b): rows for b, rows in zip(*_runs(block[order], order), strict=True)}
+    for p in sorted(b for b in first if b // per == i):
+        for q in sorted(b for b in first if b // per == j and b >= p):
+            a = first[p][visits[first[p]] >> (q - j * per) & 1 == 1]
+            b = first[q][visits[first[q]] >> (p - i * per) & 1 == 1]
+            if len(a) and len(b):
+                yield p, q, a, b
+
+
+def _runs(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct keys (sorted before), and the rows of each."""
+    at = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1))
+    return keys[at], np.split(rows, at[1:])
+
 
 def _unit(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors in double precision, and which rows have one."""
@@ -258,7 +314,9 @@ def _links(nodes: DataFrame, dim: int, threshold: float) -> DataFrame:
 
     placed = cut(nodes.mapInArrow(assign, f"node long, embedding {kind}, copies long, home int, ring int, cosine double, {code_kind}"), "placed")
     stats = placed.groupBy("home", "ring").agg(F.count("*"), F.min("cosine"), F.max("cosine")).collect()  # two rows a centre
-    cells = spark.sparkContext.broadcast(Cells(centres.value, [tuple(r) for r in stats], threshold, BLOCK))
+    # a block less than full where that makes GROUPS of them
+    dealt = Cells(centres.value, [tuple(r) for r in stats], threshold, min(BLOCK, max(ROWS, -(-n // GROUPS))))
+    (groups, per), cells = dealt.groups(), spark.sparkContext.broadcast(dealt)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,55 +324,58 @@ def _links(nodes: DataFrame, dim: int, threshold: float) -> DataFrame:
             unit, _ = _unit(batch.column(1), dim)
             block = cells.value.block_of(home, ring, node)
             for i in range(0, len(unit), ROWS):
-                may = cells.value.visited(unit[i : i + ROWS], home[i : i + ROWS])
                 own = block[i : i + ROWS]
-                may[np.arange(len(own)), own] = True
-                x, to = np.nonzero(may)
-                for k in range(0, len(x), 4096):
-                    at, other = x[k : k + 4096], to[k : k + 4096]
-                    mine = own[at]
-                    ends = (np.minimum(mine, other), np.maximum(mine, other), mine)
-                    rows = pa.array(at + i)
-                    yield pa.RecordBatch.from_arrays([*(pa.array(e.astype(np.int32)) for e in ends), *(batch.column(c).take(rows) for c in (0, 4, 5, 6, 7))], names=["i", "j", "block", "node", "bits", "factor", "bytes", "scale"])
+                x, to, bits = cells.value.sent(unit[i : i + ROWS], home[i : i + ROWS], own)
+                mine = own[x] // per
+                ends = (np.minimum(mine, to), np.maximum(mine, to), own[x])
+                rows = pa.array(x + i)
+                yield pa.RecordBatch.from_arrays([*(pa.array(e.astype(np.int32)) for e in ends), pa.array(bits), *(batch.column(c).take(rows) for c in (0, 4, 5, 6, 7))], names=["i", "j", "block", "visits", "node", "bits", "factor", "bytes", "scale"])
 
-    visits = placed.select("node", "embedding", "home", "ring", "bits", "factor", "bytes", "scale").mapInArrow(visit, f"i int, j int, block int, node long, {code_kind}")
+    visits = placed.select("node", "embedding", "home", "ring", "bits", "factor", "bytes", "scale").mapInArrow(visit, f"i int, j int, block int, visits long, node long, {code_kind}")
+    jobs = groups * (groups + 1) // 2  # few and long: each is dealt by itself
 
     def screen(key: tuple, table: pa.Table) -> pa.Table:
-        """Who has a pair left by the estimates."""
+        """Who has a pair left by the estimates, and in which blocks."""
         i, j = (k.as_py() for k in key)
         block, node, factor, scale = (table.column(k).to_numpy() for k in ("block", "node", "factor", "scale"))
         code = Codes.stored(_matrix(table.column("bits"), np.uint8), factor, _matrix(table.column("bytes"), np.int8), scale)
-        a, b, left = np.flatnonzero(block == i), np.flatnonzero(block == j), np.zeros(len(node), bool)
-        other = code.rows(b)
-        for s in range(0, len(a), ROWS):
-            some = a[s : s + ROWS]
-            maybe = code.rows(some).may_link(other, threshold, DEVIATIONS)
-            if i == j:
-                maybe[np.arange(len(some)), np.arange(s, s + len(some))] = False
-            left[some] |= maybe.any(1)
-            left[b] |= maybe.any(0)
+        left = np.zeros(len(node), np.int64)
+        for p, q, a, b in meetings(key, table, per):
+            other = code.rows(b)
+            for s in range(0, len(a), ROWS):
+                some = a[s : s + ROWS]
+                x, y = code.rows(some).near(other, threshold, DEVIATIONS)
+                x, y = some[x], b[y]
+                if p == q:
+                    x, y = x[x != y], y[x != y]
+                left[x] |= 1 << (q - j * per)
+                left[y] |= 1 << (p - i * per)
         at = np.flatnonzero(left)
-        return pa.table({"i": np.full(len(at), i, np.int32), "j": np.full(len(at), j, np.int32), "block": block[at].astype(np.int32), "node": node[at]})
+        return pa.table({"i": np.full(len(at), i, np.int32), "j": np.full(len(at), j, np.int32), "block": block[at].astype(np.int32), "visits": left[at], "node": node[at]})
 
-    left = cut(visits.groupBy("i", "j").applyInArrow(screen, "i int, j int, block int, node long"), "left")
-    jobs = left.join(placed.select("node", "copies", "embedding"), "node")
+    left = cut(visits.repartition(jobs, "i", "j").groupBy("i", "j").applyInArrow(screen, "i int, j int, block int, visits long, node long"), "left")
+    full = left.join(placed.select("node", "copies", "embedding"), "node")
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
-        i, j = (k.as_py() for k in key)
-        block, node, copies = (table.column(k).to_numpy() for k in ("block", "node", "copies"))
-        unit, _ = _unit(table.column("embedding").combine_chunks(), dim)
-        a, b, m = np.flatnonzero(block == i), np.flatnonzero(block == j), len(node)
-        links, label = np.zeros(m), np.arange(m)
-        for x, y, _ in linked_parts(unit[a], unit[b], turn, threshold):
-            x, y = a[x], b[y]
-            if i == j:
-                x, y = x[x < y], y[x < y]
-            links += np.bincount(x, copies[y], m) + np.bincount(y, copies[x], m)
-            label = unite(label, x, y)
+        node, copies = (table.column(k).to_numpy() for k in ("node", "copies"))
+        embedding = table.column("embedding").combine_chunks()
+        links, label = np.zeros(len(node)), np.arange(len(node))
+        for p, q, a, b in meetings(key, table, per):
+            at = a if p == q else np.concatenate([a, b])
+            apart, tree, count, weight = len(at) - len(b), np.arange(len(at)), np.zeros(len(at)), copies[at]
+            left, right = (_unit(embedding.take(pa.array(k)), dim)[0] for k in (a, b))
+            for x, y, _ in linked_parts(left, right, turn, threshold):
+                y = y + apart
+                if p == q:
+                    x, y = x[x < y], y[x < y]
+                count += np.bincount(x, weight[y], len(at)) + np.bincount(y, weight[x], len(at))
+                tree = unite(tree, x, y)
+            links[at] += count
+            label = unite(label, at, at[tree])
         at = np.flatnonzero(links)
         return pa.table({"node": node[at], "links": links[at].astype(np.int64), "to": node[label[at]]})
 
-    return cut(jobs.groupBy("i", "j").applyInArrow(compare, "node long, links long, to long"), "links")
+    return cut(full.repartition(jobs, "i", "j").groupBy("i", "j").applyInArrow(compare, "node long, links long, to long"), "links")
 
 
 def _cells(rows: np.ndarray) -> pa.Array:

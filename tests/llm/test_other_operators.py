@@ -181,6 +181,62 @@ def test_estimates_are_unbiased_and_bounded():
     assert set(zip(*np.nonzero(a @ near.T >= 0.9), strict=True)) == set(zip(x, y, strict=True)) and exact < 0.1 * 300 * 300
 
 
+def test_near_keeps_every_pair_that_may_link_and_few_others():
+    rng = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    turn = vectors.rotation(64)
+    a = unit(rng.normal(size=(300, 64)))
+    for b in (unit(a + rng.normal(size=a.shape) * 0.06), unit(a[:1] + rng.normal(size=a.shape) * 0.06)):  # few links, and nearly all
+        for left in (a, b):
+            exact = left @ b.T
+            ca, cb = vectors.Codes(left, turn), vectors.Codes(b, turn)
+            got = np.zeros(exact.shape, bool)
+            got[ca.near(cb, 0.9, vectors.DEVIATIONS)] = True
+            assert not (ca.may_link(cb, 0.9, vectors.DEVIATIONS) & (exact >= 0.9) & ~got).any() and exact[got].min(initial=1) > 0.85
+
+
+def _records(spark, run):
+    """Records that the stages of ``run`` wrote to shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty()
+        found = sc.statusStore().stageList(jvm.java.util.ArrayList(), False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (found.apply(k) for k in range(found.size()))}
+
+    before = stages()
+    run()
+    return sum(n for k, n in stages().items() if k not in before)
+
+
+def test_what_is_sent_grows_with_the_vectors(spark, monkeypatch):
+    """Where no bound excludes a cell, a vector was sent to as many jobs as there are blocks, and fetched whole for nearly all of them."""
+    monkeypatch.setattr(vectors, "BLOCK", 64)
+    v = np.random.default_rng(9).normal(size=(4000, 64))
+    v[1::2] = v[::2] + np.random.default_rng(10).normal(size=(2000, 64)) * 0.2  # everyone has one partner
+    df = lambda n: spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v[:n])], "vec_id long, embedding array<double>")
+    got = []
+    few, many = (_records(spark, lambda n=n: got.append({r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicates(df(n)).collect()})) for n in (1000, 4000))
+    assert all(g == {i: (1, i - i % 2) for i in range(len(g))} for g in got)
+    assert many < 6 * few and many < 40 * 4000
+
+
+def test_more_groups_than_usual(spark, monkeypatch):
+    """Groups of two blocks at most, so more than ``GROUPS``: a vector meets every other one once all the same."""
+    for name, value in (("BLOCK", 40), ("GROUPS", 3), ("WIDE", 2), ("ROWS", 16)):
+        monkeypatch.setattr(vectors, name, value)
+    rng = np.random.default_rng(6)
+    v = np.concatenate([rng.normal(size=(1, 32)) + rng.normal(size=(150, 32)) * 0.3, rng.normal(size=(450, 32))])
+    got = {r["vec_id"]: r for r in vectors.near_duplicates(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, embedding array<double>")).collect()}
+    m = v / np.linalg.norm(v, axis=1, keepdims=True)
+    link = m @ m.T >= 0.9
+    np.fill_diagonal(link, False)
+    assert 0.1 < link[:150, :150].mean() < 0.99
+    assert [got[i]["n_links"] for i in range(len(v))] == link.sum(1).tolist()
+    assert [got[i]["component_id"] for i in range(len(v))] == vectors.unite(np.arange(len(v)), *np.nonzero(link)).tolist()
+
+
 def test_components(spark):
     rng = random.Random(2)
     e = [(rng.randrange(-200, 200), rng.randrange(-200, 200)) for _ in range(260)] + [(900 + i, 901 + i) for i in range(60)] + [(5, 5), (None, 3)]
